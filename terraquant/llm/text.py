@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 WHITE = "\t\n\x0b\f\r"
 SHINGLE = 5
 #: Bytes of text handled at a time in a Python worker.
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 20
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 _SOLID = np.array([b != 32 and not 9 <= b <= 13 for b in range(256)])
