@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def local_session(name: str = "terraquant", cores: str = "*", partitions: int = 8) -> SparkSession:
     """A local session for tests and benchmarks; cluster jobs bring their own."""
-    return (
+    return reachable(
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(partitions))
