@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraquant.llm import bpe, decontam, jaccard, likelihood, maglev, mixing, packing, rules, urls
+from terraquant.llm import bpe, decontam, jaccard, likelihood, lines, maglev, mixing, packing, rules, urls
 from terraquant.session import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -46,6 +46,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "contaminated", "item_ids", "containment")
 
 
+def op6_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(documents(spark, sf_dir))
+
+
 def op7_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.count_tokens(documents(spark, sf_dir), tokenizer_path())
 
