@@ -10,8 +10,9 @@ of frequent ones: rare tokens are indexed singly, frequent ones as two-token com
 Copies collapse first (one set, one representative). Then the first tokens of each prefix tie every set to
 the smallest set with that token, which merges groups of near copies at a cost linear in their size. The
 prefix index over all representatives then yields only pairs from different groups, and frequent tokens
-that stay within one group are not combined, so no group is expanded into all its pairs. Every candidate
-is verified on the whole sets; components are those of all verified links.
+that stay within one group are not combined, so no group is expanded into all its pairs. The number of
+prefix tokens that a pair shares bounds its intersection from above, which rules most candidates out. The
+others are verified on the whole sets; components are those of all verified links.
 """
 
 from __future__ import annotations
@@ -171,33 +172,48 @@ def head_pairs(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
     return pairs.select(F.col("doc_id").alias("a"), F.col("c.doc_id").alias("b")).distinct()
 
 
-def cross_pairs(token: np.ndarray, doc: np.ndarray, size: np.ndarray, group: np.ndarray, percent: int = PERCENT, block: int = 1 << 20) -> Iterator[np.ndarray]:
-    """Blocks of distinct pairs (a, b) of documents that share a token, differ in group, and whose sizes allow a link."""
+def cross_pairs(token: np.ndarray, doc: np.ndarray, size: np.ndarray, group: np.ndarray, percent: int = PERCENT, block: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of (a, b, tokens shared): documents that share a token, differ in group, and whose sizes allow a link."""
+    names, doc = np.unique(doc, return_inverse=True)
     order = np.lexsort((size, token))
     token, doc, size, group = token[order], doc[order], size[order], group[order]
     starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
-    ends = np.append(starts[1:], len(token))
-    first = np.repeat(starts, ends - starts)
+    length = np.diff(np.append(starts, len(token)))
     several = np.zeros(len(token), bool)
-    several[group != group[first]] = True
+    several[group != group[np.repeat(starts, length)]] = True
     hit = np.add.reduceat(several, starts) > 0 if len(starts) else np.zeros(0, bool)
-    out: list[np.ndarray] = []
-    held = 0
-    for s, e in zip(starts[hit].tolist(), ends[hit].tolist()):
-        d, n, g = doc[s:e], size[s:e], group[s:e]
-        # sizes ascend: j's partners i < j start where 100 * n[i] >= percent * n[j]
-        low = np.searchsorted(n, -(-percent * n // 100))
-        for j in range(1, e - s):
-            i = slice(low[j], j)
-            other = d[i][g[i] != g[j]]
-            if len(other):
-                out.append(np.stack([np.minimum(other, d[j]), np.maximum(other, d[j])], 1))
-                held += len(other)
-        if held >= block:
-            yield np.unique(np.concatenate(out), axis=0)
-            out, held = [], 0
-    if out:
-        yield np.unique(np.concatenate(out), axis=0)
+    starts, length = starts[hit], length[hit]
+    held: list[np.ndarray] = []
+    n_held = 0
+
+    def keys(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        # size[i] <= size[j]
+        fine = (group[i] != group[j]) & (100 * size[i] >= percent * size[j]) & (doc[i] != doc[j])
+        x, y = doc[i[fine]], doc[j[fine]]
+        return np.minimum(x, y) * len(names) + np.maximum(x, y)
+
+    def counted() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        k, c = np.unique(np.concatenate(held), return_counts=True)
+        return names[k // len(names)], names[k % len(names)], c
+
+    for m in np.unique(length).tolist():
+        own = starts[length == m]
+        if m <= 512:
+            x, y = np.triu_indices(m, 1)
+            step = max(1, (1 << 20) // len(x))
+            parts = ((own[k : k + step, None] + x, own[k : k + step, None] + y) for k in range(0, len(own), step))
+        else:  # a long run: row by row, each against the rows before it that are not too small
+            parts = ((np.arange(s, e), np.full(e - s, e)) for s0 in own.tolist() for e in range(s0 + 1, s0 + m) for s in [s0 + int(np.searchsorted(size[s0:e], -(-percent * size[e] // 100)))])
+        for i, j in parts:
+            got = keys(i.ravel(), j.ravel())
+            if len(got):
+                held.append(got)
+                n_held += len(got)
+            if n_held >= block:
+                yield counted()
+                held, n_held = [], 0
+    if held:
+        yield counted()
 
 
 def index_pairs(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -230,18 +246,37 @@ def index_pairs(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names)
 
-    single = reps.select(F.explode("rare").alias("token"), "doc_id", "n", "grp")
-    index = single
-    if len(open_tokens) > 1:
-        index = single.unionByName(reps.where(F.size("often") > 1).select("doc_id", "n", "grp", "often").mapInArrow(combine, "token long, doc_id long, n long, grp long"))
-
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [tuple(b.column(i).to_numpy() for i in range(4)) for b in batches]
         if parts:
-            for pairs in cross_pairs(*(np.concatenate(c) for c in zip(*parts)), percent):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+            for x, y, c in cross_pairs(*(np.concatenate(c) for c in zip(*parts)), percent):
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(c.astype(np.int64))], ["a", "b", "c"])
+
+    single = reps.select(F.explode("rare").alias("token"), "doc_id", "n", "grp").repartition("token").mapInArrow(probe, "a long, b long, c long")
+    counts = single.select("a", "b", F.col("c").alias("rare"), F.lit(0).cast("long").alias("two"))
+    if len(open_tokens) > 1:
+        combined = reps.where(F.size("often") > 1).select("doc_id", "n", "grp", "often").mapInArrow(combine, "token long, doc_id long, n long, grp long")
+        double = combined.repartition("token").mapInArrow(probe, "a long, b long, c long")
+        counts = counts.unionByName(double.select("a", "b", F.lit(0).cast("long").alias("rare"), F.col("c").alias("two")))
+    counts = counts.groupBy("a", "b").agg(F.sum("rare").alias("rare"), F.sum("two").alias("two"))
+    return within_bound(counts, reps, percent)
 
-    return index.repartition("token").mapInArrow(probe, "a long, b long").distinct()
+
+def within_bound(counts: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b): pairs whose shared prefix tokens leave room for a link.
+
+    Of two prefixes one ends first in the order of tokens; all tokens that the sets share up to there were counted, and
+    at most the rest of that set can be shared beyond. f(f-1)/2 shared pairs mean f shared frequent tokens; none, one at most.
+    """
+    flip = F.col("last").bitwiseXOR(F.lit(-(1 << 63)))  # unsigned order
+    last = F.when(F.size("often") > 0, F.element_at("often", -1)).otherwise(F.element_at("rare", -1))
+    ends = reps.select("doc_id", "n", (F.col("n") - F.size("rare") - F.size("often")).alias("rest"), (F.size("often") > 0).cast("int").alias("class"), last.alias("last"))
+    ends = ends.select("doc_id", "n", "rest", F.struct("class", flip.alias("at")).alias("end"))
+    side = lambda k: ends.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("rest").alias(f"rest{k}"), F.col("end").alias(f"end{k}"))
+    often = F.greatest(F.lit(1.0), F.floor((1 + F.sqrt(1 + 8 * F.col("two"))) / 2))
+    most = F.col("rare") + often + F.when(F.col("enda") <= F.col("endb"), F.col("resta")).otherwise(F.col("restb"))
+    # 100 * i >= percent * (na + nb - i)
+    return counts.join(side("a"), "a").join(side("b"), "b").where((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
