@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terraquant.llm.text import words
+from terraquant.llm.text import count_in, solid_length, words
 
 BUCKETS = 1 << 17
 #: Documents whose mean log ratio is below this are not kept.
@@ -39,8 +39,12 @@ def with_word_hashes(docs: DataFrame) -> DataFrame:
 
 
 def ngrams() -> Column:
-    """Buckets of all n-grams of a row with word hashes."""
-    return F.transform(F.concat("_w", "_bi"), lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int"))
+    """Hashes of all n-grams of a row with word hashes."""
+    return F.concat("_w", "_bi")
+
+
+def bucket(gram: str) -> Column:
+    return F.pmod(F.col(gram), F.lit(BUCKETS)).cast("int")
 
 
 def bucket_weights(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
@@ -49,8 +53,8 @@ def bucket_weights(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     marked = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_target"), "left")
-    grams = with_word_hashes(marked).select(F.explode(ngrams()).alias("bucket"), F.when(F.col("_target").isNotNull(), 1).otherwise(0).alias("t"))
-    counts = grams.groupBy("bucket").agg(F.sum("t").alias("t"), F.count("*").alias("r"))
+    grams = with_word_hashes(marked).select(F.explode(ngrams()).alias("gram"), F.when(F.col("_target").isNotNull(), 1).otherwise(0).alias("t"))
+    counts = grams.groupBy(bucket("gram").alias("bucket")).agg(F.sum("t").alias("t"), F.count("*").alias("r"))
     total = counts.agg(F.sum("t").alias("tt"), F.sum("r").alias("rr"))
     share = lambda n, of: (F.col(n) + SMOOTHING) / (F.col(of) + SMOOTHING * BUCKETS)
     return counts.crossJoin(F.broadcast(total)).select("bucket", F.log(share("t", "tt") / share("r", "rr")).alias("weight"))  # one row
@@ -59,13 +63,13 @@ def bucket_weights(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
 def with_base_rules(docs: DataFrame) -> DataFrame:
     """doc_id, text hashes and the base statistics of every row of docs (doc_id, text). Null texts count as empty."""
     t = F.col("_t")
-    lines = F.filter(F.split(t, "\n"), lambda x: F.translate(x, " \t\x0b\f\r", "") != "")
+    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     out = with_word_hashes(docs.select("doc_id", "text", F.coalesce("text", F.lit("")).alias("_t")))
     out = out.select(
         "doc_id", "_w", "_bi",
         F.size("_w").cast("long").alias("n_words"),
-        F.length(F.translate(t, " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
-        (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        solid_length(t).cast("long").alias("word_chars"),
+        count_in(t, "#*$%&|<>").cast("long").alias("n_symbols"),
         lines.alias("_lines"),
         F.zip_with(_first(F.col("_bi"), 1), _shifted(F.col("_w"), 2), lambda a, b: F.xxhash64(a, b)).alias("_tri"),
     )
@@ -90,7 +94,7 @@ def quality_rules(docs: DataFrame, target_ids: DataFrame, threshold: float = THR
     """
     weights = bucket_weights(docs, target_ids)
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    grams = with_base_rules(docs).withColumn("_row", F.monotonically_increasing_id()).select("_row", *names, F.explode_outer(ngrams()).alias("bucket"))
-    scored = grams.join(F.broadcast(weights), "bucket", "left").groupBy("_row", *names).agg(F.avg("weight").alias("llr"))
+    grams = with_base_rules(docs).withColumn("_row", F.monotonically_increasing_id()).select("_row", *names, F.explode_outer(ngrams()).alias("gram"))
+    scored = grams.select("_row", *names, bucket("gram").alias("bucket")).join(F.broadcast(weights), "bucket", "left").groupBy("_row", *names).agg(F.avg("weight").alias("llr"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return scored.select(*names, failed.alias("base_failed"), (~failed & F.coalesce(F.col("llr") >= threshold, F.lit(False))).alias("kept"), "llr")

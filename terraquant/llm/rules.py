@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terraquant.llm.text import words
+from terraquant.llm.text import count_in, solid_length, words
 
 #: Most labelled rows that are learnt from (taken in order of a hash of their id).
 SAMPLE_ROWS = 20_000
@@ -75,20 +75,20 @@ def with_features(docs: DataFrame) -> DataFrame:
     per_word = F.greatest(n, F.lit(1))
 
     def share_of(chars: str) -> Column:
-        return (F.length(t) - F.length(F.translate(t, chars, ""))) / length
+        return count_in(t, chars) / length
 
     base = docs.withColumn("_text", F.coalesce("text", F.lit(""))).withColumn("_words", words(F.col("text")))
     echo = F.size(F.filter(F.zip_with(w, F.slice(w, F.lit(2), per_word), lambda a, b: a == b), lambda x: x))
     columns = {
         "log_words": F.log1p(n.cast("double")),
-        "mean_word": F.length(F.translate(t, " \t\n\x0b\f\r", "")) / per_word,
+        "mean_word": solid_length(t) / per_word,
         "symbol_share": share_of("#*$%&|<>"),
-        "upper_share": (F.length(t) - F.length(F.regexp_replace(t, r"\p{Lu}+", ""))) / length,
+        "upper_share": share_of(r"\p{Lu}"),
         "shout_share": share_of("!?"),
-        "digit_share": share_of("0123456789"),
+        "digit_share": share_of("0-9"),
         "distinct_share": F.size(F.array_distinct(w)) / per_word,
         "echo_share": echo / per_word,
-        "line_words": n / (F.length(t) - F.length(F.translate(t, "\n", "")) + 1),
+        "line_words": n / (F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) + 1),
     }
     return base.select(*(F.col(f"`{c}`") for c in docs.columns), *(columns[k].cast("double").alias(k) for k in FEATURES))
 

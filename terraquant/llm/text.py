@@ -25,8 +25,19 @@ _PLACE = np.random.default_rng(20).integers(0, 1 << 64, 1024, dtype=np.uint64) |
 
 def words(text: Column) -> Column:
     """Array of the words [^\\x20\\x09-\\x0D]+ of a text; null or empty text gives an empty array."""
-    flat = F.translate(F.coalesce(text, F.lit("")), WHITE, " " * len(WHITE))
-    return F.filter(F.split(flat, " "), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")
+
+
+def count_in(text: Column, chars: str) -> Column:
+    """Number of a text's characters in a class, such as a-z or \\p{Lu}."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"[{chars}]+", ""))
+
+
+def solid_length(text: Column) -> Column:
+    """Number of a text's characters that belong to words."""
+    for c in " " + WHITE:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return F.length(text)
 
 
 def _final(h: np.ndarray) -> np.ndarray:
