@@ -1,14 +1,15 @@
 """Exact Jaccard join of shingle sets by token-combination prefixes.
 
-Sets are ordered by (frequency class, hash). Class 1 holds rare shingles, class 2 those in a bounded table
-of frequent ones that all tasks' summaries agree on; any table gives right results, as only the order
-depends on it. A set of n shingles may miss q = n - ceil(t*n) of them in a linked set. Its prefix is the
+Sets are ordered by (frequency class, hash). Class 1 holds rare shingles, class 2 the frequent
+ones: a table of bounded size from exact counts of the tokens that prefixes would hold. Any table gives right
+results, as only the order depends on it. A set of n shingles may miss q = n - ceil(t*n) of them in a linked set. Its prefix is the
 first q + 1 rare shingles; where it has fewer, the prefix is extended into class 2 until removing any q
 tokens still leaves one rare token or two frequent ones. So linked sets share a rare prefix token or a pair
 of frequent ones: rare tokens are indexed singly, frequent ones as two-token combinations.
 
 Copies collapse first (one set, one representative). Then the first tokens of each prefix tie every set to
-the smallest set with that token, which merges groups of near copies at a cost linear in their size. The
+the smallest set with that token and to a neighbour in size, which merges groups of near copies at a cost linear
+in their size. The
 prefix index over all representatives then yields only pairs from different groups, and frequent tokens
 that stay within one group are not combined, so no group is expanded into all its pairs. The number of
 prefix tokens that a pair shares bounds its intersection from above, which rules most candidates out. The
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraquant.llm.text import chunks, in_sorted, long_lists, shingle_sets
@@ -31,14 +32,14 @@ from terraquant.session import stored
 
 #: Similarity of linked sets, in hundredths.
 PERCENT = 75
-#: Bound of the table of frequent shingles; what one task may report; count in a task from which a shingle is reported.
-FREQUENT = 131_072
-TASK_REPORT = 65_536
-TASK_COUNT = 4
-#: Number of sets from which a reported shingle is frequent.
+#: Bound of the table of frequent shingles (8 MB), and the number of texts from which a prefix token is frequent.
+FREQUENT = 1 << 20
 FREQUENT_SETS = 24
+#: Rounds in which prefix tokens are counted.
+COUNT_ROUNDS = 6
 #: First prefix tokens of each class that tie near copies together.
-HEADS = 4
+HEADS = 6
+SALTS = 16
 #: Words of 64 bits in the filter of candidate ids (2 MB); it only saves work.
 FILTER_WORDS = 1 << 18
 
@@ -48,45 +49,38 @@ def _misses(n: np.ndarray | int, percent: int):
     return n - (percent * n + 99) // 100
 
 
-def frequent_shingles(docs: DataFrame) -> np.ndarray:
-    """Sorted hashes of shingles in many texts: bounded reports of all tasks over all texts, merged, at most FREQUENT."""
-
-    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        pending: list[np.ndarray] = []
-        waiting = 0
-
-        def merge() -> None:
-            nonlocal token, count, pending, waiting
-            t, c = np.unique(np.concatenate(pending), return_counts=True)
-            pending, waiting = [], 0
-            t, c = np.concatenate([token, t]), np.concatenate([count, c])
-            order = np.argsort(t, kind="stable")
-            t, c = t[order], c[order]
-            first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-            token, count = t[first], np.add.reduceat(c, first)
-            if len(token) > 32 * TASK_REPORT:  # Misra-Gries: subtract what falls out
-                floor = np.partition(count, len(count) - 16 * TASK_REPORT)[len(count) - 16 * TASK_REPORT]
-                keep = count > floor
-                token, count = token[keep], count[keep] - floor
+def frequent_shingles(docs: DataFrame, percent: int = PERCENT) -> np.ndarray:
+    """Sorted hashes of prefix tokens that FREQUENT_SETS texts or more share, at most FREQUENT (the most frequent).
 
-        for batch in batches:
-            for b in chunks(batch, 0):
-                _, h = shingle_sets(b.column(0))
-                pending.append(h)
-                waiting += len(h)
-                if waiting > 2_000_000:
-                    merge()
-        if pending:
-            merge()
-        keep = count >= TASK_COUNT
-        token, count = token[keep], count[keep]
-        top = np.argsort(-count, kind="stable")[:TASK_REPORT]
-        yield pa.RecordBatch.from_arrays([pa.array(token[top].view(np.int64)), pa.array(count[top])], ["token", "n"])
-
-    rows = docs.select("text").mapInArrow(report, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_SETS)
-    found = rows.orderBy(F.desc("n"), "token").limit(FREQUENT).select("token").toArrow().column(0)
-    return np.sort(found.to_numpy().astype(np.int64).view(np.uint64))
+    Prefix tokens of all texts are counted exactly, combined before the shuffle. Texts whose prefix then grows past
+    frequent tokens have their new tokens counted in further rounds, which only such texts take part in.
+    """
+    table = np.zeros(0, np.uint64)
+    for _ in range(COUNT_ROUNDS):
+        shared = docs.sparkSession.sparkContext.broadcast(table)
+
+        def fresh(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            known = shared.value
+            for batch in batches:
+                for b in chunks(batch, 0):
+                    off, val = shingle_sets(b.column(0))
+                    out = []
+                    for x, y in zip(off[:-1].tolist(), off[1:].tolist()):
+                        rare, often = prefix(val[x:y], known, percent)
+                        new = len(prefix(val[x:y], known[:0], percent)[0]) if len(known) else 0
+                        # in the first round all prefix tokens are new, later those beyond the first prefix
+                        first = val[x + new - 1] if new else np.uint64(0)
+                        out.append(rare[rare > first] if new else rare)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64))], ["token"])
+
+        counts = docs.select("text").mapInArrow(fresh, "token long").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT_SETS)
+        found = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).select("token").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64)
+        if not len(found):
+            break
+        table = np.unique(np.concatenate([table, found]))
+        if len(table) >= FREQUENT:
+            break
+    return table
 
 
 def prefix(values: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
@@ -165,18 +159,28 @@ def _sizes_link(na, nb, percent: int):
 
 
 def head_pairs(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b): each set with the smallest-id set that shares one of its first prefix tokens."""
-    heads = reps.select("doc_id", "n", F.explode(F.concat(F.slice("rare", 1, HEADS), F.slice("often", 1, HEADS))).alias("token"))
+    """(a, b): each set with the smallest-id set that shares one of its first prefix tokens, and with the next one in size.
+
+    Neighbours in size are taken within SALTS parts of a token's sets, so no task has to sort a large group whole.
+    """
+    heads = reps.select("doc_id", "n", F.explode(F.concat(F.slice("rare", 1, HEADS), F.slice("often", 1, 2 * HEADS))).alias("token"))
     least = heads.groupBy("token").agg(F.min(F.struct("doc_id", "n")).alias("c"), F.count("*").alias("m")).where("m > 1").select("token", "c")
-    pairs = heads.join(least, "token").where(F.col("doc_id") != F.col("c.doc_id")).where(_sizes_link(F.col("n"), F.col("c.n"), percent))
-    return pairs.select(F.col("doc_id").alias("a"), F.col("c.doc_id").alias("b")).distinct()
+    shared = heads.join(least, "token")
+    part = Window.partitionBy("token", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).orderBy("n", "doc_id")
+    placed = shared.withColumn("beside", F.lag(F.struct("doc_id", "n")).over(part))
+    near = placed.select("doc_id", "n", F.explode(F.array("c", "beside")).alias("c"))
+    pairs = near.where(F.col("c").isNotNull() & (F.col("doc_id") != F.col("c.doc_id"))).where(_sizes_link(F.col("n"), F.col("c.n"), percent))
+    return pairs.select(F.greatest("doc_id", "c.doc_id").alias("a"), F.least("doc_id", "c.doc_id").alias("b")).distinct()
+
 
+def cross_pairs(token: np.ndarray, doc: np.ndarray, size: np.ndarray, group: np.ndarray, cap: np.ndarray, percent: int = PERCENT, block: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of (a, b, tokens shared): documents that share a token, differ in group, and whose sizes allow a link.
 
-def cross_pairs(token: np.ndarray, doc: np.ndarray, size: np.ndarray, group: np.ndarray, percent: int = PERCENT, block: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Blocks of (a, b, tokens shared): documents that share a token, differ in group, and whose sizes allow a link."""
+    cap bounds what a document can share with another one.
+    """
     names, doc = np.unique(doc, return_inverse=True)
     order = np.lexsort((size, token))
-    token, doc, size, group = token[order], doc[order], size[order], group[order]
+    token, doc, size, group, cap = token[order], doc[order], size[order], group[order], cap[order]
     starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
     length = np.diff(np.append(starts, len(token)))
     several = np.zeros(len(token), bool)
@@ -189,6 +193,7 @@ def cross_pairs(token: np.ndarray, doc: np.ndarray, size: np.ndarray, group: np.
     def keys(i: np.ndarray, j: np.ndarray) -> np.ndarray:
         # size[i] <= size[j]
         fine = (group[i] != group[j]) & (100 * size[i] >= percent * size[j]) & (doc[i] != doc[j])
+        fine &= (100 + percent) * np.minimum(cap[i], cap[j]) >= percent * (size[i] + size[j])
         x, y = doc[i[fine]], doc[j[fine]]
         return np.minimum(x, y) * len(names) + np.maximum(x, y)
 
@@ -225,10 +230,10 @@ def index_pairs(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
     table = reps.sparkSession.sparkContext.broadcast(open_tokens)
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["token", "doc_id", "n", "grp"]
+        names = ["token", "doc_id", "n", "grp", "cap"]
         for b in batches:
-            d, n, g = (b.column(i).to_numpy() for i in range(3))
-            rows, out, held = b.column(3), [], 0
+            fixed = [b.column(i).to_numpy() for i in range(4)]
+            rows, out, held = b.column(4), [], 0
             for i in range(b.num_rows):
                 t = rows[i].values.to_numpy()
                 u = t[in_sorted(t, table.value)].view(np.uint64)
@@ -238,7 +243,7 @@ def index_pairs(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
                 with np.errstate(over="ignore"):
                     sig = (u[x] * np.uint64(0x9E3779B97F4A7C15) + u[y]) * np.uint64(0xD6E8FEB86659FD93)
                 sig ^= sig >> np.uint64(29)
-                out.append([sig.view(np.int64), *(np.full(len(sig), c[i]) for c in (d, n, g))])
+                out.append([sig.view(np.int64), *(np.full(len(sig), c[i]) for c in fixed)])
                 held += len(sig)
                 if held > 500_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names)
@@ -247,15 +252,16 @@ def index_pairs(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [tuple(b.column(i).to_numpy() for i in range(4)) for b in batches]
+        parts = [tuple(b.column(i).to_numpy() for i in range(5)) for b in batches]
         if parts:
             for x, y, c in cross_pairs(*(np.concatenate(c) for c in zip(*parts)), percent):
                 yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(c.astype(np.int64))], ["a", "b", "c"])
 
-    single = reps.select(F.explode("rare").alias("token"), "doc_id", "n", "grp").repartition("token").mapInArrow(probe, "a long, b long, c long")
+    single = reps.select(F.explode("rare").alias("token"), "doc_id", "n", "grp", F.col("n").alias("cap")).repartition("token").mapInArrow(probe, "a long, b long, c long")
     counts = single.select("a", "b", F.col("c").alias("rare"), F.lit(0).cast("long").alias("two"))
     if len(open_tokens) > 1:
-        combined = reps.where(F.size("often") > 1).select("doc_id", "n", "grp", "often").mapInArrow(combine, "token long, doc_id long, n long, grp long")
+        # sets that share rare tokens too have met above: here none of a set's rare prefix tokens is shared
+        combined = reps.where(F.size("often") > 1).select("doc_id", "n", "grp", (F.col("n") - F.size("rare")).alias("cap"), "often").mapInArrow(combine, "token long, doc_id long, n long, grp long, cap long")
         double = combined.repartition("token").mapInArrow(probe, "a long, b long, c long")
         counts = counts.unionByName(double.select("a", "b", F.lit(0).cast("long").alias("rare"), F.col("c").alias("two")))
     counts = counts.groupBy("a", "b").agg(F.sum("rare").alias("rare"), F.sum("two").alias("two"))
@@ -267,13 +273,14 @@ def within_bound(counts: DataFrame, reps: DataFrame, percent: int = PERCENT) ->
 
     Of two prefixes one ends first in the order of tokens; all tokens that the sets share up to there were counted, and
     at most the rest of that set can be shared beyond. f(f-1)/2 shared pairs mean f shared frequent tokens; none, one at most.
+    Of sets that share a rare token, pairs of frequent ones were not all counted, so all of them may be shared.
     """
     flip = F.col("last").bitwiseXOR(F.lit(-(1 << 63)))  # unsigned order
     last = F.when(F.size("often") > 0, F.element_at("often", -1)).otherwise(F.element_at("rare", -1))
-    ends = reps.select("doc_id", "n", (F.col("n") - F.size("rare") - F.size("often")).alias("rest"), (F.size("often") > 0).cast("int").alias("class"), last.alias("last"))
-    ends = ends.select("doc_id", "n", "rest", F.struct("class", flip.alias("at")).alias("end"))
-    side = lambda k: ends.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("rest").alias(f"rest{k}"), F.col("end").alias(f"end{k}"))
-    often = F.greatest(F.lit(1.0), F.floor((1 + F.sqrt(1 + 8 * F.col("two"))) / 2))
+    ends = reps.select("doc_id", "n", (F.col("n") - F.size("rare") - F.size("often")).alias("rest"), F.size("often").alias("many"), (F.size("often") > 0).cast("int").alias("class"), last.alias("last"))
+    ends = ends.select("doc_id", "n", "rest", "many", F.struct("class", flip.alias("at")).alias("end"))
+    side = lambda k: ends.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("rest").alias(f"rest{k}"), F.col("many").alias(f"many{k}"), F.col("end").alias(f"end{k}"))
+    often = F.when(F.col("rare") > 0, F.least("manya", "manyb")).otherwise(F.greatest(F.lit(1), F.floor((1 + F.sqrt(1 + 8 * F.col("two"))) / 2)))
     most = F.col("rare") + often + F.when(F.col("enda") <= F.col("endb"), F.col("resta")).otherwise(F.col("restb"))
     # 100 * i >= percent * (na + nb - i)
     return counts.join(side("a"), "a").join(side("b"), "b").where((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
@@ -289,7 +296,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     which is null where no row with that set has an id. Shingles are compared by 64-bit hashes.
     """
     texts = docs.select("doc_id", "text")
-    frequent = frequent_shingles(texts)
+    frequent = frequent_shingles(texts, percent)
     sets = stored(document_sets(texts, frequent, percent), "sets")
     with_words = sets.where("n > 0")
     reps = with_words.where("doc_id IS NOT NULL").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
