@@ -56,8 +56,7 @@ def op7_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_filter_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    outcomes = pages.select(F.coalesce(urls.host_of(F.col("url")), F.lit("")).alias("host"), urls.bad_page(F.col("html")).alias("bad"))
-    return urls.judge_urls(pages, outcomes)
+    return urls.judge_urls(pages, urls.page_outcomes(pages))
 
 
 def op9_assign_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

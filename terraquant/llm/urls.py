@@ -13,6 +13,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terraquant.llm.text import count_in, words
 from terraquant.session import stored
 
 #: The production rules.
@@ -87,21 +88,19 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
     return host.select("host", "n", "bad", "rate", bound.alias("bound"))
 
 
-def bad_page(html: Column) -> Column:
-    """Outcome label of a page from its own content: 1 when the visible text is junk.
+def page_outcomes(pages: DataFrame) -> DataFrame:
+    """(host, bad): outcome label of every page (url, html) from its own content, 1 when the visible text is junk.
 
-    Junk: over a tenth symbols, over four tenths of the letters upper case, or (from 20 words) under a fifth of
+    Junk: over a tenth symbols, over four tenths of the characters upper case, or (from 20 words) under a fifth of
     the words distinct. Null when no text is visible.
     """
-    body = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style|nav|head)\b.*?</\1>", " "), r"(?s)<!--.*?-->", " "), r"<[^>]*>", " ")
-    body = F.trim(F.regexp_replace(body, r"&[a-z#0-9]+;", " "))
-    n = F.length(body)
-    words = F.filter(F.split(F.translate(body, "\t\n\x0b\f\r", "     "), " "), lambda w: w != "")
-    symbols = n - F.length(F.translate(body, "#*$%&|<>", ""))
-    letters = F.length(F.regexp_replace(body, r"[^\p{L}]+", ""))
-    upper = F.length(F.regexp_replace(body, r"[^\p{Lu}]+", ""))
-    junk = (symbols > 0.1 * n) | (upper > 0.4 * letters) | ((F.size(words) >= 20) & (F.size(F.array_distinct(words)) < 0.2 * F.size(words)))
-    return F.when(n > 0, junk.cast("int"))
+    hidden = r"(?is)<(script|style|nav|head)\b.*?</\1>|<!--.*?-->|<[^>]*>|&[a-z#0-9]+;"
+    text = pages.select(F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"), F.trim(F.regexp_replace(F.coalesce("html", F.lit("")), hidden, " ")).alias("_text"))
+    parts = text.select("host", "_text", words(F.col("_text")).alias("_words"))
+    n = F.length("_text")
+    symbols, upper = count_in(F.col("_text"), "#*$%&|<>"), count_in(F.col("_text"), r"\p{Lu}")
+    junk = (symbols > 0.1 * n) | (upper > 0.4 * n) | ((F.size("_words") >= 20) & (F.size(F.array_distinct("_words")) < 0.2 * F.size("_words")))
+    return parts.select("host", F.when(n > 0, junk.cast("int")).alias("bad"))
 
 
 def judge_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
