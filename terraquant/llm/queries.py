@@ -47,7 +47,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup_lines(documents(spark, sf_dir))
+    return lines.dedup_lines(documents(spark, sf_dir), share=lines.SHARE)
 
 
 def op7_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

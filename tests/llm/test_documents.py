@@ -159,6 +159,49 @@ def test_line_classes_equal_all_pairs(spark, monkeypatch, crowded):
     assert lines.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
+    return row[-1]
+
+
+@pytest.mark.parametrize("crowded", [64, 2])
+def test_similar_lines_equal_all_pairs(spark, monkeypatch, crowded):
+    """Short lines with any edits, long ones with changed words and dates, and one without spaces."""
+    monkeypatch.setattr(lines, "CROWDED", crowded)
+    rng = random.Random(8)
+    pool = ["Les.", "Let.", "release 9", "release 8", "Copyright 2019 by the authors of it", "Copyright 2021 by the authors of it", "x" * 30 + "".join(map(str, range(60))), "x" * 30 + "".join(map(str, range(59))) + "ab"]
+    for k in range(24):
+        base = sentence(rng, 3 + k if k < 9 else rng.randrange(12, 90))
+        pool.append(base)
+        for _ in range(3):
+            w = list(base.split())
+            if len(base) < lines.SHORT:
+                w = list(base)
+                for _ in range(rng.randrange(1, 2 + len(base) * 15 // 100)):
+                    at = rng.randrange(len(w))
+                    w[at : at + rng.randrange(2)] = rng.choice(["", "é", "7"])
+                pool.append("".join(w).strip())
+            else:
+                for at in {rng.randrange(len(w)) for _ in range(1 + len(w) // 16)}:
+                    w[at] = f"n{rng.randrange(99)}"
+                pool.append(" ".join(w))
+    pool = sorted(set(pool))
+    docs = [(i, "\n".join(pool[i::9])) for i in range(9)]
+    links = [(a, b) for a, b in itertools.combinations(pool, 2) if abs(len(a) - len(b)) <= max(len(a), len(b)) * 15 // 100 and edits(a, b) <= max(len(a), len(b)) * 15 // 100]
+    assert len(links) > 80
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    name = {r["h"]: r["line"] for r in lines.document_lines(df).collect()}
+    got = [(name[r["a"]], name[r["b"]]) for r in lines.similar_links(df).collect()]
+    assert {tuple(sorted(x)) for x in got} <= {tuple(sorted(x)) for x in links}
+    assert classes(got, pool) == classes(links, pool)
+    assert sum(r["n_near"] for r in lines.dedup_lines(df, share=15).collect()) == len({x for p in links for x in p})
+    assert lines.similar_links(df.limit(0)).count() == 0
+
+
 # -- quality classifier
 
 
