@@ -202,6 +202,19 @@ def test_similar_lines_equal_all_pairs(spark, monkeypatch, crowded):
     assert lines.similar_links(df.limit(0)).count() == 0
 
 
+def test_texts_are_rebuilt_from_kept_lines(spark):
+    near, nearer = "the same sentence with one word in it", "the same sentence with one ward in it"
+    rows = [(2, f"{near}\nonly here\n\n  {nearer} "), (1, f"first\n{nearer}\nfirst\n"), (3, near), (3, f"new\n{near}"), (None, "new\nlast"), (4, None), (5, ""), (1, "first")]
+    df = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "doc_id long, text string, n int").coalesce(1)
+    got = {r["n"]: r for r in lines.dedup_texts(df, share=15).collect()}
+    assert [got[n]["text"] for n in range(len(rows))] == ["only here\n", f"first\n{nearer}\n", "", "new", "last", None, "", ""]
+    assert [[x["pos"] for x in got[n]["removed"]] for n in range(len(rows))] == [[0, 3], [2], [0], [1], [0], [], [], [0]]
+    assert len({x["class_id"] for n in (0, 2) for x in got[n]["removed"]}) == 1
+    assert lines.dedup_texts(df.limit(0)).count() == 0
+    flags = lines.line_flags(df, share=15).collect()
+    assert sum(r["keep"] for r in flags) == len({r["class_id"] for r in flags}) == 5
+
+
 # -- quality classifier
 
 
