@@ -38,7 +38,7 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_rate_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return likelihood.quality_rules(documents(spark, sf_dir), target)
+    return likelihood.relative_rules(documents(spark, sf_dir), target)
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -282,6 +282,30 @@ def test_likelihood_ratio_equals_brute_force(spark):
     assert got[4] is None
 
 
+@pytest.mark.parametrize("size", ["0.001", "0.01"])
+def test_verdicts_do_not_depend_on_the_size(spark, size):
+    where = DATA.replace("0.001", size)
+    rated = queries.op4_rate_likelihood(spark, where).where("NOT base_failed").join(spark.read.parquet(f"{where}/labels.parquet"), "doc_id", "left")
+    lost = {r["quality"]: r["lost"] for r in rated.groupBy("quality").agg(F.avg(F.when(F.col("kept"), 0).otherwise(1)).alias("lost")).collect()}
+    assert lost[1] <= 0.02 and lost[None] < 0.15 and lost.get(0, 1) > 0.5
+
+
+def test_relative_ratio_equals_brute_force(spark):
+    rows = [(i, t) for i, t in enumerate(["a b c", "a b d e", "x y", "x x x y", None])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["llr"] for r in likelihood.relative_rules(df, df.where("doc_id < 2").select("doc_id")).collect()}
+    grams = {i: [*w, *zip(w, w[1:])] for i, t in rows for w in [words(t)]}
+    every, trusted = [g for v in grams.values() for g in v], [g for i in range(2) for g in grams[i]]
+    s, b = likelihood.SHARE, likelihood.BUCKETS
+    rate = lambda g, of, own: (of.count(g) - own + s * len(of) / b) / (len(of) * (1 + s) - own)
+    for i, own in grams.items():
+        if own:
+            assert got[i] == pytest.approx(np.mean([np.log(rate(g, trusted, int(i < 2)) / rate(g, every, 1)) for g in own]))
+    assert got[4] is None
+    assert likelihood.relative_rules(df, df.limit(0).select("doc_id")).where("kept OR llr IS NOT NULL").count() == 0
+    assert likelihood.relative_rules(df.limit(0), df.select("doc_id")).count() == 0
+
+
 # -- pipeline
 
 
