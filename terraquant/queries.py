@@ -684,7 +684,7 @@ def moran_permutations(spark, d):
 def nngp_precision(spark, d):
     from terraquant.operators.nngp import nngp_precision as precision
 
-    return precision(points(spark, d).where("unit < 200").select("unit", "x", "y"))
+    return precision(points(spark, d).select("unit", "x", "y"))
 
 
 @query()

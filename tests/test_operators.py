@@ -152,3 +152,12 @@ def test_moran_detects_a_trend_and_not_noise():
     p = [permutation_test(np.random.default_rng(s).normal(size=n * n), w, 99, s)[1] for s in range(20)]
     assert np.mean(p) > 0.2 and np.mean(np.array(p) < 0.05) < 0.25
     assert permutation_test(np.array([1.0, np.nan, 2.0]), w[:3, :3])[0] is None
+
+
+def test_nngp_precision_covers_every_embedding(spark):
+    from terraquant import queries as Q
+
+    data = "/root/testdata/sf0.001"
+    want = {r["unit"] for r in Q.points(spark, data).collect()}
+    precision = Q.nngp_precision(spark, data).where("i = j").collect()
+    assert {r["i"] for r in precision} == want and all(r["v"] > 0 for r in precision)
