@@ -56,7 +56,8 @@ def op7_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_filter_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return urls.judge_urls(pages, urls.page_outcomes(pages))
+    model = rules.fit_rules(*rules.training_rows(documents(spark, sf_dir), table(spark, sf_dir, "labels")))
+    return urls.judge_urls(pages, urls.page_outcomes(pages, model))
 
 
 def op9_assign_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
