@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terraquant.llm.text import SHINGLE, chunks, shingle_sets, window_hashes, word_hashes
+from terraquant.session import stored
 
 THRESHOLD = 0.75
 #: Items, and bytes of item text, in one broadcast block.
@@ -81,7 +82,7 @@ class ItemIndex:
 def item_blocks(items: DataFrame, text: str = "text") -> Iterator[list]:
     """Items in blocks of bounded count and bytes; an item over the bound makes a block of its own."""
     block, size = [], 0
-    for row in items.select("item_id", text).where(f"{text} IS NOT NULL AND item_id IS NOT NULL").toLocalIterator():
+    for row in items.select("item_id", text).where(f"{text} IS NOT NULL").toLocalIterator():
         n = len(row[1].encode())
         if block and (len(block) >= BLOCK_ITEMS or size + n > BLOCK_BYTES):
             yield block
@@ -97,13 +98,17 @@ def find_contamination(docs: DataFrame, items: DataFrame, threshold: float = THR
 
     A document is contaminated by an item when it holds at least the share threshold of the item's distinct
     shingles. Null, empty and word-less texts (on either side) match nothing. An item of one to four words is one
-    shingle and matches where its words stand in a row. Columns of these three names in docs are replaced.
+    shingle and matches where its words stand in a row. An item without an id contaminates, but is not listed.
+    Items that repeat are listed once; repeated rows and null ids of docs are searched like any other row. Columns of
+    these three names in docs are replaced.
+
+    Every block of items is one pass; between blocks the result is stored, so a task never holds more than one block.
     """
     names = ("contaminated", "item_ids", "containment")
     kept = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in names))
     out = kept.withColumn("item_ids", F.lit([]).cast("array<long>")).withColumn("containment", F.lit(0.0))
     column = next(i for i, c in enumerate(kept.columns) if c.lower() == "text")
-    for block in item_blocks(items):
+    for n_block, block in enumerate(item_blocks(items)):
         index = ItemIndex([t for _, t in block], threshold)
         ids = [i for i, _ in block]
 
@@ -113,9 +118,18 @@ def find_contamination(docs: DataFrame, items: DataFrame, threshold: float = THR
                     old_ids, old_best = b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()
                     for i, hits in enumerate(index.probe(b.column(column))):
                         if hits:
-                            old_ids[i] = sorted({*old_ids[i], *(ids[j] for j, _ in hits)})
+                            old_ids[i] = sorted({*old_ids[i], *(ids[j] for j, _ in hits if ids[j] is not None)})
                             old_best[i] = max(old_best[i], *(c for _, c in hits))
                     yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(old_ids, b.schema.field(b.num_columns - 2).type), pa.array(old_best, pa.float64())], schema=b.schema)
 
+        if n_block:
+            out = stored(out, "searched")
         out = out.mapInArrow(search, out.schema)
-    return out.withColumn("contaminated", F.size("item_ids") > 0)
+    return out.withColumn("contaminated", F.col("containment") > 0)
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that no item contaminates, with their own columns, whatever they are called."""
+    packed = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_packed"))
+    clean = find_contamination(packed, items, threshold).where(~F.col("contaminated"))
+    return clean.select(*(F.col("_packed").getField(c).alias(c) for c in docs.columns))

@@ -19,7 +19,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 EPOCHS = 2
 #: Rows aimed at in one block of a source.
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 2_000
 SEED = "mix"
 
 
@@ -81,12 +81,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs as the mix takes them: once per epoch that takes any of the document, whole.
+    """The rows of docs as the mix takes them: once per epoch that takes any of the document, whole, with their own columns.
 
     A document cut by its source's budget stays whole, so a source may exceed its target by one document.
     Documents of which nothing is taken (among them those without words) go. Needs distinct ids to tell rows
-    apart; rows that repeat an id are each taken as often as the most-taken of them.
+    apart; rows that repeat an id (or have none) are each taken as often as the most-taken of them. An empty table gives an
+    empty result.
     """
-    plan = mix(docs, **options).where("taken > 0").groupBy("doc_id").agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("_mix_copies"))
-    kept = docs.join(plan.withColumnRenamed("doc_id", "_mix_id"), F.col("doc_id").eqNullSafe(F.col("_mix_id")))
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))).alias("_mix_epoch")).drop("_mix_epoch")
+    plan = mix(docs, **options).where("taken > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("_copies"))
+    plan = stored(plan, "copies")
+    packed = docs.select("doc_id", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_packed"))
+    named = packed.where("doc_id IS NOT NULL").join(plan, F.col("doc_id") == F.col("_id")).select("_packed", "_copies")
+    # one row at most: rows without an id are not gathered in one task
+    nameless = packed.where("doc_id IS NULL").crossJoin(F.broadcast(plan.where("_id IS NULL").select("_copies"))).select("_packed", "_copies")
+    taken = named.unionByName(nameless).select("_packed", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_epoch"))
+    return taken.select(*(F.col("_packed").getField(c).alias(c) for c in docs.columns))

@@ -205,5 +205,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", ro
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs that the classifier accepts."""
-    return score_quality(docs, labels, **options).where("predicted = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of docs that the classifier accepts, with their own columns, whatever they are called.
+
+    Null and empty texts are judged as texts without words; repeated rows and null ids each like any other row. Without
+    labels every score is 0.5, so all rows stay; an empty table gives an empty result.
+    """
+    packed = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_packed"))
+    good = score_quality(packed, labels, **options).where("predicted = 1")
+    return good.select(*(F.col("_packed").getField(c).alias(c) for c in docs.columns))
