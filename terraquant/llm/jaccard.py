@@ -19,6 +19,7 @@ others are verified on the whole sets; components are those of all verified link
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +39,9 @@ PERCENT = 75
 #: Bound of the table of frequent shingles (8 MB), and the number of texts from which a prefix token is frequent.
 FREQUENT = 1 << 20
 FREQUENT_SETS = 24
-#: Rounds in which prefix tokens are counted.
-COUNT_ROUNDS = 6
+#: Rounds in which tokens are counted, and the number of texts from which a token found in the last one asks for another.
+COUNT_ROUNDS = 3
+MANY_SETS = 1000
 #: First prefix tokens of each class that tie near copies together.
 HEADS = 6
 SALTS = 16
@@ -61,13 +63,14 @@ def _misses(n: np.ndarray | int, percent: int):
 
 
 def frequent_shingles(docs: DataFrame, percent: int = PERCENT) -> np.ndarray:
-    """Sorted hashes of prefix tokens that FREQUENT_SETS texts or more share, at most FREQUENT (the most frequent).
+    """Sorted hashes of tokens that FREQUENT_SETS texts or more share, at most FREQUENT (the most frequent).
 
-    Prefix tokens of all texts are counted exactly, combined before the shuffle. Texts whose prefix then grows past
-    frequent tokens have their new tokens counted in further rounds, which only such texts take part in.
+    The tokens of all texts' first prefixes are counted exactly, combined before the shuffle. Prefixes with frequent tokens
+    grow, so further rounds count whole sets, but only of texts whose first prefix holds a frequent token. Rounds end when
+    they find nothing, after COUNT_ROUNDS as soon as they find no token of MANY_SETS.
     """
     table = np.zeros(0, np.uint64)
-    for _ in range(COUNT_ROUNDS):
+    for turn in itertools.count(1):
         shared = docs.sparkSession.sparkContext.broadcast(table)
 
         def fresh(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -75,23 +78,22 @@ def frequent_shingles(docs: DataFrame, percent: int = PERCENT) -> np.ndarray:
             for batch in batches:
                 for b in chunks(batch, 0):
                     off, val = shingle_sets(b.column(0))
-                    out = []
+                    out = [val[:0]]
                     for x, y in zip(off[:-1].tolist(), off[1:].tolist()):
-                        rare, often = prefix(val[x:y], known, percent)
-                        new = len(prefix(val[x:y], known[:0], percent)[0]) if len(known) else 0
-                        # in the first round all prefix tokens are new, later those beyond the first prefix
-                        first = val[x + new - 1] if new else np.uint64(0)
-                        out.append(rare[rare > first] if new else rare)
+                        first, _ = prefix(val[x:y], known[:0], percent)
+                        if not len(known):
+                            out.append(first)
+                        elif in_sorted(first, known).any():
+                            own = val[x:y]
+                            out.append(own[~in_sorted(own, known)])
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64))], ["token"])
 
         counts = docs.select("text").mapInArrow(fresh, "token long").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT_SETS)
-        found = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).select("token").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64)
-        if not len(found):
-            break
+        got = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
+        found = got.column("token").to_numpy().astype(np.int64).view(np.uint64)
         table = np.unique(np.concatenate([table, found]))
-        if len(table) >= FREQUENT:
-            break
-    return table
+        if not len(found) or len(table) >= FREQUENT or (turn >= COUNT_ROUNDS and got.column("n")[0].as_py() < MANY_SETS):
+            return table
 
 
 def prefix(values: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
