@@ -39,8 +39,9 @@ PERCENT = 75
 #: Bound of the table of frequent shingles (8 MB), and the number of texts from which a prefix token is frequent.
 FREQUENT = 1 << 20
 FREQUENT_SETS = 24
-#: Rounds in which tokens are counted, and the number of texts from which a token found in the last one asks for another.
+#: Rounds in which tokens are counted, how far they look beyond a grown prefix, and the number of texts from which a token found in the last one asks for another.
 COUNT_ROUNDS = 3
+AHEAD = 3
 MANY_SETS = 1000
 #: First prefix tokens of each class that tie near copies together.
 HEADS = 6
@@ -66,7 +67,7 @@ def frequent_shingles(docs: DataFrame, percent: int = PERCENT) -> np.ndarray:
     """Sorted hashes of tokens that FREQUENT_SETS texts or more share, at most FREQUENT (the most frequent).
 
     The tokens of all texts' first prefixes are counted exactly, combined before the shuffle. Prefixes with frequent tokens
-    grow, so further rounds count whole sets, but only of texts whose first prefix holds a frequent token. Rounds end when
+    grow, so further rounds count the tokens that they grow into, and AHEAD times as many beyond. Rounds end when
     they find nothing, after COUNT_ROUNDS as soon as they find no token of MANY_SETS.
     """
     table = np.zeros(0, np.uint64)
@@ -83,9 +84,9 @@ def frequent_shingles(docs: DataFrame, percent: int = PERCENT) -> np.ndarray:
                         first, _ = prefix(val[x:y], known[:0], percent)
                         if not len(known):
                             out.append(first)
-                        elif in_sorted(first, known).any():
-                            own = val[x:y]
-                            out.append(own[~in_sorted(own, known)])
+                        elif grown := int(in_sorted(first, known).sum()):
+                            beyond = val[x + len(first) : y]
+                            out.append(beyond[~in_sorted(beyond, known)][: grown * (1 + AHEAD)])
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64))], ["token"])
 
         counts = docs.select("text").mapInArrow(fresh, "token long").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT_SETS)
