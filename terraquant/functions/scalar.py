@@ -162,3 +162,14 @@ def is_true(c: Column) -> Column:
 def no_nan(c: Column) -> Column:
     """NaN as null."""
     return F.when(~F.isnan(c), c)
+
+
+def interpolated(x: Column, grid, value) -> Column:
+    """Linear interpolation of a function given on an even grid; 0 outside."""
+    step = float(grid[1] - grid[0])
+    known = F.lit([float(v) for v in value])
+    at = (x - float(grid[0])) / step
+    low = F.greatest(F.lit(0), F.least(F.floor(at), F.lit(len(grid) - 2))).cast("int")
+    a, b = F.get(known, low), F.get(known, low + 1)
+    inside = (at >= 0) & (at <= len(grid) - 1)
+    return F.when(inside, a + (b - a) * (at - low)).when(x.isNotNull(), F.lit(0.0))

@@ -51,8 +51,8 @@ class Basis:
         return np.hstack([eta @ self.turn, s]) - self.centre
 
 
-def point_basis(locations: np.ndarray, kind: str = "tp", k: int = 20, knots: int = KNOTS) -> Basis:
-    """Basis of k - 1 columns on distinct locations: a truncated kernel part, penalised, and the plane, not penalised."""
+def point_basis(locations: np.ndarray, kind: str = "tp", k: int = 20, knots: int = KNOTS, scale: bool = True) -> Basis:
+    """Basis of k - 1 columns on distinct locations: a truncated kernel part, penalised, and the plane, not penalised. scale standardises the coordinates."""
     if kind not in ("tp", "gp"):
         raise ValueError("kind must be tp, gp or mrf")
     if locations.ndim != 2 or locations.shape[1] != 2:
@@ -60,6 +60,8 @@ def point_basis(locations: np.ndarray, kind: str = "tp", k: int = 20, knots: int
     loc = np.unique(np.asarray(locations, float), axis=0)
     shift, spread = loc.mean(0), loc.std(0, ddof=1) if len(loc) > 1 else np.ones(2)
     spread = np.where(spread > 0, spread, 1.0)
+    if not scale:
+        shift, spread = np.zeros(2), np.ones(2)
     k = min(k, len(loc) - 1)
     if k < 4:
         raise ValueError("a point basis needs at least five distinct locations")
@@ -108,14 +110,11 @@ def region_basis(levels: list[str], edges: list[tuple[str, str]], k: int = 20) -
     return Basis("mrf", (omega + omega.T) / 2, np.zeros(table.shape[1]), levels=at, table=table)
 
 
-def smoothed_out(x: np.ndarray, b: np.ndarray, omega: np.ndarray, w: np.ndarray) -> np.ndarray | None:
-    """Coefficients (constant first) of the penalised regression of x on b, the penalty chosen by restricted likelihood.
+def smooth_by_sums(n: float, aa: np.ndarray, ax: np.ndarray, xx: float, omega: np.ndarray) -> np.ndarray | None:
+    """Coefficients (constant first) of the penalised regression of x on a basis, the penalty chosen by restricted likelihood.
 
-    Works on cross products only. A constant x has none (None).
+    Takes cross products over n rows: of the constant and basis columns (aa), with x (ax), and of x (xx). A constant x has none (None).
     """
-    n = len(x)
-    a = np.hstack([np.ones((n, 1)), b])
-    aa, ax, xx = a.T @ (w[:, None] * a), a.T @ (w * x), float((w * x * x).sum())
     if xx - ax[0] ** 2 / aa[0, 0] <= 1e-12 * max(xx, 1e-12):
         return None
     s = np.zeros_like(aa)

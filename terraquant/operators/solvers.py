@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 
-from terraquant.operators.sums import Chunk, LocalRows, cdf, pdf
+from terraquant.operators.sums import Chunk, Least, LocalRows, Parts, cdf, pdf, row_keys, uniforms
 
 FLOOR = 1e-12
+#: Rows near the fit that the exact quantile step gathers on the driver; the others enter it as two sums.
+BAND = 50_000
+#: Clusterings of one start, and their rounds.
+CLUSTERINGS, CLUSTER_ROUNDS = 3, 25
 
 
 def check(u: np.ndarray, tau: float) -> np.ndarray:
@@ -30,11 +35,12 @@ def robust_solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Field:
-    """A spatial effect over units: precision q, components of the graph; constrained to sum to zero in each, or free."""
+    """A spatial effect over units: precision q, components of the graph; constrained to sum to zero in each, or free. adjacency: weights of neighbours, where they do not follow from q."""
 
     q: np.ndarray
     component: np.ndarray
     constrained: bool = True
+    adjacency: np.ndarray | None = None
 
     @property
     def size(self) -> int:
@@ -52,7 +58,7 @@ class Field:
 
 @dataclass
 class State:
-    """Parameters of the mixture; responsibilities follow from them, or from the rows' start probabilities."""
+    """Parameters of the mixture; responsibilities follow from them, before the first step from start, or the rows' own start probabilities."""
 
     beta: np.ndarray
     phi: np.ndarray
@@ -60,6 +66,7 @@ class State:
     density: list
     tau: float
     started: bool = False
+    start: Callable[[Chunk], np.ndarray] | None = None
 
     def fitted(self, c: Chunk) -> np.ndarray:
         out = c.x @ self.beta
@@ -77,7 +84,7 @@ class State:
 
     def posterior(self, c: Chunk) -> np.ndarray:
         if not self.started:
-            return c.p
+            return c.p if self.start is None else self.start(c)
         m = np.maximum(self.prior(c) * self.densities(c), FLOOR)
         return m / m.sum(axis=1, keepdims=True)
 
@@ -181,6 +188,21 @@ def scale_of(rows, b: np.ndarray, phi: np.ndarray) -> float:
     return float(s) if np.isfinite(s) and s > 0 else 1.0
 
 
+def pooled_scale(rows, state: State) -> float:
+    """Scale of the residuals of all regimes together."""
+
+    def residuals(c: Chunk) -> np.ndarray:
+        return (c.y[:, None] - state.fitted(c)).ravel()
+
+    centre = rows.median(residuals)
+    s = 1.4826 * rows.median(lambda c: np.abs(residuals(c) - centre))
+    if np.isfinite(s) and s > 0:
+        return s
+    n, m, q = rows.reduce(lambda c: (lambda e: (float(len(e)), e.sum(), (e * e).sum()))(residuals(c)))
+    s = np.sqrt(max(q / n - (m / n) ** 2, 0) * n / max(n - 1, 1))
+    return float(s) if np.isfinite(s) and s > 0 else 1.0
+
+
 def smooth_quantile(rows, k: int, old: State, pen: np.ndarray, rate: float, field: Field | None = None, lam: float = 1.0, start=None, floor: float = 1e-3, maxit: int = 50, tol: float = 1e-7, target: float | None = None):
     """Penalised smoothed quantile regression of regime k by annealed Newton: (b, phi, bandwidth).
 
@@ -285,6 +307,141 @@ def exact_quantile(x: np.ndarray, y: np.ndarray, w: np.ndarray, tau: float, b: n
     return b
 
 
+def exact_over(rows, k: int, old: State, tau: float, b: np.ndarray, band: int = BAND) -> np.ndarray:
+    """Exact quantile regression of regime k over any rows.
+
+    On the executors, rows far from the fit keep the sign of their residual, so their loss is linear: two sums stand for
+    them, and only a band of rows around the fit is gathered and solved exactly. Where a far row's sign turns out to differ,
+    the band moves on with the fit, as far as the loss over all rows falls. With all signs right the fit is the exact one.
+    """
+    if isinstance(rows, LocalRows):
+        c = rows.chunk
+        return exact_quantile(c.x, c.y, c.w * old.posterior(c)[:, k], tau, b)
+
+    def distance(c: Chunk, b: np.ndarray) -> np.ndarray:
+        return np.abs(c.y - c.x @ b)
+
+    n = int(rows.reduce(lambda c: (len(c),))[0])
+    for _ in range(40):
+        width = np.inf if n <= band else float(rows.quantiles([band / n], distance, b)[0])
+
+        def split(c: Chunk, b=b, width=width):
+            w, e = c.w * old.posterior(c)[:, k], c.y - c.x @ b
+            near = np.abs(e) <= width
+            above, below = ~near & (e > 0), ~near & (e < 0)
+            return Parts([np.column_stack([c.x, c.y, w])[near]]), c.x[above].T @ w[above], c.x[below].T @ w[below], w.sum()
+
+        near, above, below, total = rows.reduce(split)
+        own = np.concatenate(near.parts)
+        # two rows that stay above and below whatever the step
+        far = 1e3 * max(1.0, float(np.abs(own[:, -2]).max(initial=0.0))) * max(1.0, float(total))
+        x = np.vstack([own[:, :-2], above, below])
+        y = np.concatenate([own[:, -2], [above @ b + far, below @ b - far]])
+        new = exact_quantile(x, y, np.concatenate([own[:, -1], [1.0, 1.0]]), tau, b)
+        steps = np.array([0.5**i for i in range(12)])
+
+        def judge(c: Chunk, b=b, new=new, width=width):
+            w, e, d = c.w * old.posterior(c)[:, k], c.y - c.x @ b, c.x @ (new - b)
+            turned = (np.abs(e) > width) & ((e > 0) != (e - d > 0)) & (w > 0)
+            return int(turned.sum()), np.array([(w * check(e - t * d, tau)).sum() for t in (0.0, *steps)])
+
+        turned, loss = rows.reduce(judge)
+        if not turned:
+            return new
+        best = int(loss[1:].argmin())
+        if loss[1 + best] >= loss[0]:
+            if band >= n:
+                return b
+            band *= 4
+            continue
+        b = b + steps[best] * (new - b)
+    return b
+
+
+def everywhere(c: Chunk) -> np.ndarray:
+    """Start of a single regime."""
+    return np.ones((len(c), 1))
+
+
+@dataclass(frozen=True)
+class RandomStart:
+    """Random responsibilities by a hash of each row."""
+
+    n_classes: int
+    seed: int
+
+    def __call__(self, c: Chunk) -> np.ndarray:
+        key = row_keys(c, self.seed)
+        p = np.stack([-np.log(uniforms(key, k)) for k in range(self.n_classes)], 1) + 1e-12
+        return p / p.sum(1, keepdims=True)
+
+
+@dataclass(frozen=True)
+class ClusterStart:
+    """Soft labels of clustered residuals, with scaled coordinates where blocked."""
+
+    b: np.ndarray
+    blocked: bool
+    shift: np.ndarray
+    spread: np.ndarray
+    centre: np.ndarray
+
+    def features(self, c: Chunk) -> np.ndarray:
+        e = (c.y - c.x @ self.b)[:, None]
+        return ((np.hstack([e, c.place]) if self.blocked else e) - self.shift) / self.spread
+
+    def __call__(self, c: Chunk) -> np.ndarray:
+        f, g = self.features(c), len(self.centre)
+        p = np.full((len(c), g), 0.2 / (g - 1))
+        p[np.arange(len(c)), ((f[:, None] - self.centre[None]) ** 2).sum(2).argmin(1)] = 0.8
+        return p
+
+
+def start_of(rows, n_classes: int, tau: float, kind: str, seed: int, sizes: tuple[int, int], has_place: bool) -> Callable[[Chunk], np.ndarray]:
+    """Start of a mixture: random, or clusters of residuals of one quantile regression (resid), with coordinates too (blocked).
+
+    Centres start at rows chosen by hash and move by sums over all rows; of several clusterings the tightest counts.
+    """
+    p, q = sizes
+    if n_classes == 1:
+        return everywhere
+    if kind == "random":
+        return RandomStart(n_classes, seed)
+    state = State(np.zeros((p, 1)), np.zeros((0, 1)), np.zeros((q, 0)), [], tau, start=everywhere)
+    b, _, _ = smooth_quantile(rows, 0, state, 1e-6 * np.eye(p), 0.3)
+    blocked = kind == "blocked" and has_place
+    raw = ClusterStart(b, blocked, np.zeros(1), np.ones(1), np.zeros((0, 0)))
+    n, one, two = rows.reduce(lambda c: (lambda f: (float(len(f)), f.sum(0), (f * f).sum(0)))(raw.features(c)))
+    spread = np.sqrt(np.maximum(two / n - (one / n) ** 2, 0))
+    scaled = ClusterStart(b, blocked, np.where(np.arange(len(one)) == 0, 0.0, one / n), np.where(spread > 0, spread, 1.0), np.zeros((0, 0)))
+    reserve = 4 * n_classes
+    picks = rows.reduce(lambda c: tuple(Least(row_keys(c, seed + 101 * (r + 1)), scaled.features(c), reserve) for r in range(CLUSTERINGS)))
+    spare = [list(x.rows[n_classes:]) for x in picks]
+    centres = [np.vstack([x.rows[:n_classes], np.repeat(x.rows[:1], n_classes - len(x.rows[:n_classes]), 0)]) for x in picks]
+
+    def sums(c: Chunk, centres: list[np.ndarray]):
+        f, out, tight = scaled.features(c), [], []
+        for centre in centres:
+            d = ((f[:, None] - centre[None]) ** 2).sum(2)
+            label = d.argmin(1)
+            out.append(np.stack([np.concatenate([f[label == k].sum(0), [(label == k).sum()]]) for k in range(n_classes)]))
+            tight.append(d.min(1).sum())
+        return np.stack(out), np.array(tight)
+
+    for turn in range(CLUSTER_ROUNDS + 1):
+        total, tight = rows.reduce(sums, centres)
+        if turn == CLUSTER_ROUNDS:
+            break
+        moved = []
+        for r, centre in enumerate(centres):
+            new = [t[:-1] / t[-1] if t[-1] else spare[r].pop(0) if spare[r] else centre[k] for k, t in enumerate(total[r])]
+            moved.append(np.stack(new))
+        if all(np.array_equal(a, c) for a, c in zip(moved, centres)):
+            break
+        centres = moved
+    return ClusterStart(scaled.b, blocked, scaled.shift, scaled.spread, centres[int(tight.argmin())])
+
+
 def gate_fit(rows, old: State, pen: np.ndarray, n_classes: int, maxit: int = 50, tol: float = 1e-8) -> tuple[np.ndarray, np.ndarray]:
     """Penalised multinomial logit on responsibilities by Newton from zero: (gamma, Hessian)."""
     q, k = len(pen), n_classes - 1
@@ -315,8 +472,8 @@ def gate_fit(rows, old: State, pen: np.ndarray, n_classes: int, maxit: int = 50,
     return gamma, hess
 
 
-def regime_densities(rows, old: State, beta: np.ndarray, phi: np.ndarray, method: str, grid: int = 512) -> list:
-    """Density of each regime's residuals under the current responsibilities."""
+def regime_densities(rows, old: State, beta: np.ndarray, phi: np.ndarray, method: str, grid: int = 512, bandwidth: float | None = None) -> list:
+    """Density of each regime's residuals under the current responsibilities; the kernel's bandwidth by rule where not given."""
     tau, g = old.tau, beta.shape[1]
     new = State(beta, phi, old.gamma, [], tau)
     if method == "ald":
@@ -346,7 +503,7 @@ def regime_densities(rows, old: State, beta: np.ndarray, phi: np.ndarray, method
     for k in range(g):
         low, high = counts[k]
         tilt = low * (tau / max(low.sum(), FLOOR)) + high * ((1 - tau) / max(high.sum(), FLOOR))
-        width = 0.9 * sd[k] * (s[k] ** 2 / max(s2[k], FLOOR)) ** -0.2
+        width = bandwidth or 0.9 * sd[k] * (s[k] ** 2 / max(s2[k], FLOOR)) ** -0.2
         step = grids[k][1] - grids[k][0]
         reach = int(np.ceil(4 * width / step))
         kernel = pdf(np.arange(-reach, reach + 1) * step / width) / width
@@ -354,25 +511,25 @@ def regime_densities(rows, old: State, beta: np.ndarray, phi: np.ndarray, method
     return out
 
 
-def mixture_em(rows, n_classes: int, tau: float, pen_beta: np.ndarray, pen_gamma: np.ndarray, rate: float, smooth: bool, field: Field | None, lam: float, method: str = "ald", maxit: int = 200, tol: float = 1e-5, control=None) -> dict:
-    """One start of the penalised EM from the rows' start probabilities."""
+def mixture_em(rows, n_classes: int, tau: float, pen_beta: np.ndarray, pen_gamma: np.ndarray, rate: float, smooth: bool, field: Field | None, lam: float, method: str = "ald", maxit: int = 200, tol: float = 1e-5, control=None, start: Callable[[Chunk], np.ndarray] | None = None) -> dict:
+    """One run of the penalised EM from a start."""
     c = control
     p, g = len(pen_beta), n_classes
     m = field.size if field else 0
-    state = State(np.zeros((p, g)), np.zeros((m, g)), np.zeros((len(pen_gamma), max(g - 1, 0))), [], tau)
+    state = State(np.zeros((p, g)), np.zeros((m, g)), np.zeros((len(pen_gamma), max(g - 1, 0))), [], tau, start=start)
     previous, converged, h, it = None, False, rate, 0
     newton = {} if c is None else {"floor": c.sm_floor, "maxit": c.coef_maxit, "tol": c.coef_tol}
     gate = {} if c is None else {"maxit": c.gate_maxit, "tol": c.gate_tol}
+    kernel = {} if c is None else {"grid": c.kde_grid, "bandwidth": c.bandwidth}
     for it in range(1, maxit + 1):
         beta, phi = state.beta.copy(), state.phi.copy()
         for k in range(g):
             beta[:, k], f, h = smooth_quantile(rows, k, state, pen_beta, rate, field, lam, (state.beta[:, k], state.phi[:, k]), **newton)
             if m:
                 phi[:, k] = f
-            elif not smooth and isinstance(rows, LocalRows):
-                ch = rows.chunk
-                beta[:, k] = exact_quantile(ch.x, ch.y, ch.w * state.posterior(ch)[:, k], tau, beta[:, k])
-        density = regime_densities(rows, state, beta, phi, method)
+            elif not smooth:
+                beta[:, k] = exact_over(rows, k, state, tau, beta[:, k])
+        density = regime_densities(rows, state, beta, phi, method, **kernel)
         gamma, hess = gate_fit(rows, state, pen_gamma, g, **gate)
         state = State(beta, phi, gamma, density, tau, True)
         now = np.concatenate([beta.ravel(), phi.ravel(), gamma.ravel()])
@@ -384,14 +541,14 @@ def mixture_em(rows, n_classes: int, tau: float, pen_beta: np.ndarray, pen_gamma
             converged = True
             break
     gamma, hess = gate_fit(rows, state, pen_gamma, g, **gate)
-    density = regime_densities(rows, state, state.beta, state.phi, method)
+    density = regime_densities(rows, state, state.beta, state.phi, method, **kernel)
     final = State(state.beta, state.phi, gamma, density, tau, True)
     if not smooth and field is None:
-        h = max(newton.get("floor", 1e-3), rate * scale_of(rows, final.beta[:, 0], np.zeros(0)) if g == 1 else max(newton.get("floor", 1e-3), h))
+        h = max(newton.get("floor", 1e-3), rate * pooled_scale(rows, final))
     ll, loss = rows.reduce(lambda ch: (np.array((ch.w * np.log(np.maximum((final.prior(ch) * final.densities(ch)).sum(1), FLOOR))).sum()), np.array((ch.w[:, None] * final.posterior(ch) * check(ch.y[:, None] - final.fitted(ch), tau)).sum())))
     pen = 0.5 * sum(final.beta[:, k] @ pen_beta @ final.beta[:, k] for k in range(g)) + 0.5 * sum(gamma[:, a] @ pen_gamma @ gamma[:, a] for a in range(gamma.shape[1]))
     if field is not None:
         pen += 0.5 * lam * sum(final.phi[:, k] @ field.q @ final.phi[:, k] for k in range(g))
     loglik = float(ll) if method == "ald" else float("nan")
     objective = (loglik if method == "ald" else -float(loss)) - pen
-    return {"state": final, "gate_hessian": hess, "loglik": loglik, "objective": float(objective), "h": float(h), "iterations": it, "converged": converged}
+    return {"state": final, "gate_hessian": hess, "gate_cond": float(np.linalg.cond(-hess)) if len(hess) else float("nan"), "loglik": loglik, "objective": float(objective), "h": float(h), "iterations": it, "converged": converged}

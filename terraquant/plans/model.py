@@ -2,7 +2,8 @@
 
 fit() turns a formula into column expressions, drops incomplete rows, numbers the spatial units, evaluates the
 basis, and runs the EM over sums of rows (operators/solvers.py). Tables up to sums.LOCAL_ROWS rows are fitted
-on the driver, larger ones on the executors, by the same code. transform() and predict() are lazy column plans
+on the driver, larger ones on the executors from a stored table of designs, by the same code: starts, steps, exact
+quantile regressions, deconfounding, bootstrap and inference are all sums over rows. transform() and predict() are lazy column plans
 and also accept streaming DataFrames where no basis or field has to be looked up.
 """
 
@@ -20,11 +21,11 @@ from pyspark.sql import functions as F
 
 from terraquant.functions import scalar
 from terraquant.operators import graph, nngp, solvers
-from terraquant.operators.basis import Basis, point_basis, region_basis, smoothed_out
-from terraquant.operators.rows import complete_cases, normalize_weights
-from terraquant.operators.sums import LOCAL_ROWS, Chunk, LocalRows, SparkRows, cdf, pdf
+from terraquant.operators.basis import Basis, point_basis, region_basis, smooth_by_sums
+from terraquant.operators.rows import complete_cases, label_stability, normalize_weights
+from terraquant.operators.sums import LOCAL_ROWS, Chunk, Few, LocalRows, SparkRows, cdf, mixed, pdf, uniforms
 from terraquant.plans.formula import Formula, expression
-from terraquant.session import reachable
+from terraquant.session import reachable, stored
 
 #: Units of a spatial field up to which its dense system is solved on the driver.
 MAX_UNITS = 4_000
@@ -53,6 +54,10 @@ class Control:
     min_sites: int = 12
     lambda_error: float = 1.0
     seed: int = 1
+    label_order: str = "slope"
+    scale_coords: bool = True
+    bandwidth: float | None = None
+    car_alpha_grid: tuple[float, ...] = (0.5, 0.9, 0.95, 0.99)
 
 
 @dataclass
@@ -117,8 +122,15 @@ def field_of(units: DataFrame, spec: FieldSpec) -> solvers.Field:
     n = units.count()
     if n > MAX_UNITS:
         raise ValueError(f"a spatial effect over {n} units exceeds {MAX_UNITS}; aggregate the units or use a basis")
+    near = None
     if spec.kind == "nngp":
-        q_edges, comp = nngp.nngp_precision(units, spec.m, spec.reach, spec.nu), None
+        placed = nngp.ordered_units(units)
+        links = stored(nngp.earlier_neighbours(placed, spec.m), "neighbours")
+        q_edges, comp = nngp.assemble_precision(nngp.conditional_weights(placed, links, spec.reach or nngp.default_range(units), spec.nu)), None
+        e = links.select("i", "j").toPandas()
+        near = np.zeros((n, n))
+        near[e["i"].to_numpy() - 1, e["j"].to_numpy() - 1] = 1
+        near = np.maximum(near, near.T)
     else:
         edges = spec.edges if spec.edges is not None else graph.knn_graph(units, min(spec.k, n - 1))
         q_edges = graph.car_precision(edges, units, spec.alpha, "icar" if spec.kind == "icar" else "proper")
@@ -126,37 +138,7 @@ def field_of(units: DataFrame, spec: FieldSpec) -> solvers.Field:
     e = q_edges.toPandas()
     q = np.zeros((n, n))
     np.add.at(q, (e["i"].to_numpy() - 1, e["j"].to_numpy() - 1), e["v"].to_numpy())
-    return solvers.Field((q + q.T) / 2 + 1e-6 * np.eye(n), np.zeros(n, int) if comp is None else comp, spec.kind != "nngp")
-
-
-def start_probabilities(chunk: Chunk, n_classes: int, tau: float, kind: str, rng: np.random.Generator, coords: np.ndarray | None) -> np.ndarray:
-    """Responsibilities to start from: random, or soft labels of clustered residuals (with scaled coordinates where blocked)."""
-    n, g = len(chunk), n_classes
-    if g == 1:
-        return np.ones((n, 1))
-    if kind == "random":
-        p = rng.gamma(1.0, size=(n, g)) + 1e-12
-        return p / p.sum(1, keepdims=True)
-    state = solvers.State(np.zeros((chunk.x.shape[1], 1)), np.zeros((0, 1)), np.zeros((chunk.z.shape[1], 0)), [], tau)
-    one = LocalRows(replace(chunk, p=np.ones((n, 1))))
-    b, _, _ = solvers.smooth_quantile(one, 0, state, 1e-6 * np.eye(chunk.x.shape[1]), 0.3)
-    e = chunk.y - chunk.x @ b
-    feats = [e / (e.std() or 1.0)]
-    if kind == "blocked" and coords is not None:
-        feats += list(((coords - coords.mean(0)) / np.where(coords.std(0) > 0, coords.std(0), 1.0)).T)
-    f = np.stack(feats, 1)
-    best = None
-    for _ in range(3):
-        centre = f[rng.choice(n, g, replace=False)]
-        for _ in range(25):
-            label = ((f[:, None] - centre[None]) ** 2).sum(2).argmin(1)
-            centre = np.stack([f[label == k].mean(0) if (label == k).any() else f[rng.integers(n)] for k in range(g)])
-        inertia = ((f - centre[label]) ** 2).sum()
-        if best is None or inertia < best[0]:
-            best = (inertia, label)
-    p = np.full((n, g), 0.2 / (g - 1))
-    p[np.arange(n), best[1]] = 0.8
-    return p
+    return solvers.Field((q + q.T) / 2 + 1e-6 * np.eye(n), np.zeros(n, int) if comp is None else comp, spec.kind != "nngp", near)
 
 
 @dataclass
@@ -193,6 +175,8 @@ class SpatialQuantileMixture:
             raise ValueError("method must be ald or kde")
         if self.variance not in ("none", "sandwich", "boot"):
             raise ValueError("variance must be none, sandwich or boot")
+        if self.control.label_order not in ("slope", "intercept"):
+            raise ValueError("label_order must be slope or intercept")
         if self.spatial_error is not None and self.spatial_gate:
             raise ValueError("a spatial gate and a spatial error are not separately identified")
         if self.spatial_error is not None and self.spatial_error.kind == "nngp" and self.region:
@@ -244,33 +228,19 @@ class SpatialQuantileMixture:
         basis = self.basis
         if basis is None and (gate_on or coef_on):
             if self.coords:
-                sample = rows.select("c1", "c2").distinct().orderBy(F.xxhash64("c1", "c2")).limit(4000).toPandas().to_numpy()
-                basis = point_basis(sample, "gp" if c.basis == "gp" else "tp", c.k)
+                basis = point_basis(_some_places(rows), "gp" if c.basis == "gp" else "tp", c.k, scale=c.scale_coords)
             else:
-                levels = [r[0] for r in rows.select("region").distinct().orderBy("region").limit(MAX_UNITS + 1).collect()]
-                basis = region_basis(levels, self.region_edges or [], c.k)
+                basis = region_basis(_regions(rows), self.region_edges or [], c.k)
         layout = Layout.build(len(xd.columns), len(zd.columns), basis, gate_on, coef_on, self.lambda_gate, self.lambda_coef, c.gate_ridge)
-        local = n <= LOCAL_ROWS
-        plus: dict = {}
-        if local:
-            pdf = rows.toPandas()
-            x, z = np.stack(pdf["x"].to_numpy()).astype(float), np.stack(pdf["z"].to_numpy()).astype(float)
-            where = pdf[["c1", "c2"]].to_numpy() if self.coords else pdf["region"].to_numpy() if self.region else None
-            if self.spatial_plus:
-                x, plus = self._deconfound(x, where, pdf["w"].to_numpy(), xd.names)
-            b = basis(where) if basis is not None else None
-            chunk = Chunk(pdf["y"].to_numpy(), layout.component(x, b), layout.gate(z, b), pdf["w"].to_numpy(), pdf["unit"].to_numpy(), np.ones((n, self.G)) / self.G)
-            best, everything = self._starts(chunk, layout, fld, where if self.coords else None)
-            everything = LocalRows(everything)
-        else:
-            if self.spatial_plus:
-                raise ValueError(f"spatial_plus needs at most {LOCAL_ROWS} rows")
-            everything = SparkRows(self._designed(rows, layout, basis).persist())
-            best = self._run(everything, layout, fld)
+        raw = rows.toPandas() if n <= LOCAL_ROWS else rows
+        plus = self._deconfound(raw, rows, xd.names) if self.spatial_plus else {}
+        everything = self._rows(raw, lambda x, z, w: (layout.component(x, w), layout.gate(z, w)), basis, plus)
+        best = self._starts(everything, layout, fld)
         state = best["state"]
-        slope = state.beta[layout.const_rows[min(self.order_var, layout.p - 1)]]
+        ordered_by = 0 if c.label_order == "intercept" else min(self.order_var, layout.p - 1)
+        slope = state.beta[layout.const_rows[ordered_by]]
         order = np.argsort(slope, kind="stable")
-        state = replace(state, beta=state.beta[:, order], phi=state.phi[:, order] if len(state.phi) else state.phi, density=[state.density[k] for k in order])
+        state = replace(state, beta=state.beta[:, order], phi=state.phi[:, order] if len(state.phi) else state.phi, density=[state.density[k] for k in order], start=None)
         post_order = order
 
         def relabelled(ch: Chunk) -> np.ndarray:
@@ -290,60 +260,101 @@ class SpatialQuantileMixture:
             out.bootstrap()
         return out
 
-    def _deconfound(self, x: np.ndarray, where, w: np.ndarray, names: list[str]) -> tuple[np.ndarray, dict]:
-        """Every covariate less its smooth over space; constant ones stay."""
+    def _rows(self, raw, designs, basis: Basis | None, plus: dict | None = None):
+        """Rows with their designs: designs maps raw designs and basis columns to those of components and gate. A pandas frame stays on the driver; a DataFrame is designed on the executors and stored."""
+        coords, region, g = self.coords, self.region, self.G
+
+        def design(part: pd.DataFrame) -> dict[str, np.ndarray]:
+            x, z = np.stack(part["x"].to_numpy()).astype(float), np.stack(part["z"].to_numpy()).astype(float)
+            place = part[["c1", "c2"]].to_numpy(float) if coords else None
+            where = place if coords else part["region"].to_numpy() if region else None
+            if plus:
+                a = plus["basis"](where)
+                a = np.hstack([np.ones((len(a), 1)), a])
+                for j, (coef, _) in plus["fits"].items():
+                    x[:, j] -= a @ coef
+            x, z = designs(x, z, basis(where) if basis is not None else None)
+            out = {"y": part["y"].to_numpy(float), "x": x, "z": z, "w": part["w"].to_numpy(float), "unit": part["unit"].to_numpy(), "p": np.full((len(x), g), 1 / g)}
+            return out if place is None else out | {"place": place}
+
+        if isinstance(raw, pd.DataFrame):
+            return LocalRows(Chunk(**design(raw), key=mixed(np.arange(len(raw), dtype=np.uint64))))
+
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            from pyspark import TaskContext
+
+            at = TaskContext.get().partitionId() << 40
+            for part in parts:
+                if len(part):
+                    made = {k: list(v) if v.ndim > 1 else v for k, v in design(part).items()}
+                    yield pd.DataFrame(made | {"key": mixed(np.arange(at, at + len(part), dtype=np.uint64)).view(np.int64)})
+                    at += len(part)
+
+        place = ", place array<double>" if coords else ""
+        made = raw.mapInPandas(run, f"y double, x array<double>, z array<double>, w double, unit long, p array<double>{place}, key long")
+        return SparkRows(stored(made, "designed"))
+
+    def _deconfound(self, raw, rows: DataFrame, names: list[str]) -> dict:
+        """Smooths of every covariate over space, by restricted likelihood from cross products; constant ones have none."""
         if self.coords:
-            n_sites = len(np.unique(where, axis=0))
-            basis = point_basis(where, "tp", self.spatial_plus_k or min(100, max(30, n_sites // 4)))
+            n_sites = rows.select("c1", "c2").distinct().count()
+            basis = point_basis(_some_places(rows), "tp", self.spatial_plus_k or min(100, max(30, n_sites // 4)), scale=self.control.scale_coords)
         else:
-            basis = region_basis(sorted(set(where)), self.region_edges or [], self.spatial_plus_k or 100)
-        b, out, fits = basis(where), x.copy(), {}
-        for j in range(1, x.shape[1]):
-            coef = smoothed_out(x[:, j], b, basis.omega, w)
-            if coef is not None:
-                fit = np.hstack([np.ones((len(b), 1)), b]) @ coef
-                out[:, j] = x[:, j] - fit
-                fits[j] = (coef, 1 - out[:, j].var(ddof=1) / x[:, j].var(ddof=1))
-        return out, {"basis": basis, "fits": fits, "names": names}
-
-    def _run(self, rows, layout: Layout, fld: solvers.Field | None) -> dict:
+            basis = region_basis(_regions(rows), self.region_edges or [], self.spatial_plus_k or 100)
+        both = self._rows(raw, lambda x, z, b: (x, b), basis)
+
+        def sums(c: Chunk):
+            a = np.hstack([np.ones((len(c), 1)), c.z])
+            wa = c.w[:, None] * a
+            return float(len(c)), wa.T @ a, wa.T @ c.x, (c.w[:, None] * c.x**2).sum(0)
+
+        n, aa, ax, xx = both.reduce(sums)
+        coefs = {j: smooth_by_sums(n, aa, ax[:, j], float(xx[j]), basis.omega) for j in range(1, len(xx))}
+        coefs = {j: v for j, v in coefs.items() if v is not None}
+
+        def spread(c: Chunk):
+            a = np.hstack([np.ones((len(c), 1)), c.z])
+            v = np.stack([f for j, b in coefs.items() for f in (c.x[:, j], c.x[:, j] - a @ b)], 1) if coefs else np.zeros((len(c), 0))
+            return v.sum(0), (v * v).sum(0)
+
+        one, two = both.reduce(spread)
+        var = two - one**2 / n
+        return {"basis": basis, "fits": {j: (b, 1 - float(var[2 * i + 1] / var[2 * i])) for i, (j, b) in enumerate(coefs.items())}, "names": names}
+
+    def _run(self, rows, layout: Layout, fld: solvers.Field | None, start) -> dict:
         c = self.control
         n = rows.reduce(lambda ch: (np.array(float(len(ch))),))[0]
         rate = scalar.smooth_bandwidth(float(n), c.sm_scale)
         lam = c.lambda_error if self.lambda_error is None else self.lambda_error
-        return solvers.mixture_em(rows, self.G, self.tau, layout.pen_beta, layout.pen_gamma, rate, layout.spatial_coef, fld, lam, self.method, c.maxit, c.tol, c)
+        return solvers.mixture_em(rows, self.G, self.tau, layout.pen_beta, layout.pen_gamma, rate, layout.spatial_coef, fld, lam, self.method, c.maxit, c.tol, c, start)
 
-    def _starts(self, chunk: Chunk, layout: Layout, fld, coords) -> tuple[dict, Chunk]:
-        rng = np.random.default_rng(self.control.seed)
-        kinds = ("blocked", "resid", "random")
-        best = None
+    def _starts(self, rows, layout: Layout, fld) -> dict:
+        """The best of nstart runs."""
+        kinds, best = ("blocked", "resid", "random"), None
+        sizes = len(layout.pen_beta), len(layout.pen_gamma)
         for i in range(self.control.nstart if self.G > 1 else 1):
-            own = replace(chunk, p=start_probabilities(chunk, self.G, self.tau, kinds[i % 3], rng, coords))
             try:
-                got = self._run(LocalRows(own), layout, fld)
+                start = solvers.start_of(rows, self.G, self.tau, kinds[i % 3], self.control.seed + i, sizes, self.coords is not None)
+                got = self._run(rows, layout, fld, start)
             except (np.linalg.LinAlgError, FloatingPointError):
                 continue
-            if best is None or got["objective"] > best[0]["objective"]:
-                best = (got, own)
+            if best is None or got["objective"] > best["objective"]:
+                best = got
         if best is None:
             raise RuntimeError("every start failed")
         return best
 
-    def _designed(self, rows: DataFrame, layout: Layout, basis: Basis | None) -> DataFrame:
-        """Rows with full designs and a start, evaluated on the executors."""
-        coords, g, seed = self.coords, self.G, self.control.seed
 
-        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in parts:
-                x, z = np.stack(pdf["x"].to_numpy()).astype(float), np.stack(pdf["z"].to_numpy()).astype(float)
-                where = None if basis is None else pdf[["c1", "c2"]].to_numpy() if coords else pdf["region"].to_numpy()
-                b = basis(where) if basis is not None else None
-                h = pd.util.hash_array(pdf["y"].to_numpy(), hash_key=f"{seed:016d}")
-                p = np.full((len(pdf), g), 0.2 / max(g - 1, 1))
-                p[np.arange(len(pdf)), (h % g).astype(int)] = 0.8 if g > 1 else 1.0
-                yield pd.DataFrame({"y": pdf["y"], "x": list(layout.component(x, b)), "z": list(layout.gate(z, b)), "w": pdf["w"], "unit": pdf["unit"], "p": list(p)})
+def _some_places(rows: DataFrame) -> np.ndarray:
+    """Distinct locations, at most 4,000 by hash: what a basis is built on."""
+    return rows.select("c1", "c2").distinct().orderBy(F.xxhash64("c1", "c2")).limit(4000).toPandas().to_numpy()
 
-        return rows.mapInPandas(run, "y double, x array<double>, z array<double>, w double, unit long, p array<double>")
+
+def _regions(rows: DataFrame) -> list[str]:
+    names = [r[0] for r in rows.select("region").distinct().orderBy("region").limit(MAX_UNITS + 1).collect()]
+    if len(names) > MAX_UNITS:
+        raise ValueError(f"a basis over regions takes at most {MAX_UNITS} of them")
+    return names
 
 
 @dataclass
@@ -379,10 +390,25 @@ class Fitted:
         return spark.createDataFrame(rows, "regime int, term string, estimate double")
 
     def posterior(self) -> np.ndarray:
-        return self.run_posterior(self.rows.chunk)
+        """Responsibilities of the fitted rows, gathered on the driver; transform() has them as a column."""
+        return self.rows.gather(self.state.posterior)
+
+    # -- criteria
+    @property
+    def loglik(self) -> float:
+        return self.edf["loglik"]
 
-    def run_posterior(self, c: Chunk) -> np.ndarray:
-        return self.state.posterior(c)
+    @property
+    def nobs(self) -> int:
+        return self.n
+
+    def aic(self, k: float = 2.0) -> float:
+        """nan where the method has no likelihood."""
+        return -2 * self.edf["loglik"] + k * self.edf["total"]
+
+    @property
+    def bic(self) -> float:
+        return self.edf["bic"]
 
     def information(self) -> None:
         """Effective degrees of freedom, log-likelihood criteria, occupancy and entropy."""
@@ -457,9 +483,10 @@ class Fitted:
         for a, b in zip(p_at, q_at):
             mixed = mixed + a * b
         out = out.withColumn("quantile", mixed).withColumn("regime", scalar.first_max(p_at))
-        if self.spec.method == "ald" and self.formula.response and expression_columns(self.formula.response) <= set(df.columns):
+        if self.formula.response and expression_columns(self.formula.response) <= set(df.columns):
             y = self.formula.response_column()[0]
-            joint = [scalar.floored(p * scalar.ald_density(y - b, d.sigma, self.spec.tau)) for p, b, d in zip(p_at, q_at, st.density)]
+            density = lambda e, d: scalar.ald_density(e, d.sigma, self.spec.tau) if self.spec.method == "ald" else scalar.floored(scalar.interpolated(e, d.grid, d.value))
+            joint = [scalar.floored(p * density(y - b, d)) for p, b, d in zip(p_at, q_at, st.density)]
             out = out.withColumn("posterior", F.array(*scalar.normalized(joint)))
         return out.drop("_b", "_phi", "_plus")
 
@@ -470,7 +497,7 @@ class Fitted:
             raise ValueError("unknown kind of prediction")
         out = self.transform(df)
         if source[kind] not in out.columns:
-            raise ValueError("posterior needs the response and the ald method")
+            raise ValueError("posterior needs the response")
         return out.select(*df.columns, F.col(source[kind]).alias(kind))
 
     def _basis_column(self) -> Column:
@@ -536,8 +563,11 @@ class Fitted:
         place = [F.col(s.coords[0]).alias("coord1"), F.col(s.coords[1]).alias("coord2")] if s.coords else [F.col(s.region).alias("region")] if s.region else []
         return df.select(F.posexplode(F.array(*values)).alias("k", name), *place).select((F.col("k") + 1).cast("int").alias("regime"), name, *(c for c in ("coord1", "coord2", "region") if (s.coords and c != "region") or (s.region and c == "region")))
 
-    def phi_surface(self, spark, units: list | None = None, ci: bool = True, level: float = 0.95, exp_scale: bool = False) -> DataFrame:
-        """One row per unit and regime: phi, and with a sandwich also se, lower, upper, credible (and multipliers)."""
+    def phi_surface(self, spark, units: list | None = None, ci: bool = True, level: float = 0.95, exp_scale: bool = False, masked: bool = False) -> DataFrame:
+        """One row per unit and regime: phi, and with a sandwich also se, lower, upper, credible (and multipliers).
+
+        units asks for some, in their order. masked hides the phi whose interval holds 0.
+        """
         if self.field is None:
             raise ValueError("the model has no spatial effect")
         se = self.phi_se() if ci and self.vcov and "h_inverse" in self.vcov else None
@@ -549,7 +579,8 @@ class Fitted:
             known = {r[0] for r in out.select("unit").distinct().collect()}
             if set(units) - known:
                 raise ValueError("an unknown unit was asked for")
-            out = out.where(F.col("unit").isin(list(units)))
+            asked = spark.createDataFrame([(u, k) for k, u in enumerate(units)], f"_asked {'string' if self.spec.region else 'long'}, _place int")
+            out = out.join(F.broadcast(asked), F.col("unit") == F.col("_asked")).orderBy("regime", "_place").drop("_asked", "_place")
         if not ci:
             return out.drop("se")
         if se is None:
@@ -558,6 +589,8 @@ class Fitted:
         out = out.withColumns({"lower": lower, "upper": upper, "credible": credible})
         if exp_scale:
             out = out.withColumns({"mult": F.exp("phi"), "mult_lower": F.exp("lower"), "mult_upper": F.exp("upper")})
+        if masked:
+            out = out.withColumn("phi", F.when(F.col("credible"), F.col("phi")))
         return out
 
     def phi_se(self) -> np.ndarray:
@@ -570,7 +603,7 @@ class Fitted:
         st, lay, s = self.state, self.layout, self.spec
         p, m, h = len(lay.pen_beta), self.field.size if self.field else 0, self.run["h"]
         lam = s.control.lambda_error if s.lambda_error is None else s.lambda_error
-        sampling = s.weights_type == "sampling"
+        sampling, tau = s.weights_type == "sampling", s.tau
         full = []
         for k in range(s.G):
             zero = np.zeros(m)
@@ -580,7 +613,7 @@ class Fitted:
                 r = st.posterior(c)[:, k]
                 e = c.y - c.x @ st.beta[:, k] - (phi[c.unit] if m else 0)
                 kw = c.w * r * pdf(e / h) / h
-                psi = s.tau - 1 + cdf(e / h)
+                psi = tau - 1 + cdf(e / h)
                 mw = (c.w**2 if sampling else c.w) * r**2 * psi**2
                 out = []
                 for v in (kw, mw):
@@ -618,29 +651,32 @@ class Fitted:
         return self.vcov
 
     def bootstrap(self, B: int | None = None) -> dict:
-        """Covariances over resampled fits. A replicate is a vector of row multiplicities, by blocks where sites allow, else by rows."""
-        if not isinstance(self.rows, LocalRows):
-            raise ValueError("the bootstrap needs a table that is fitted on the driver")
+        """Covariances over resampled fits. A replicate counts every row's draws: multinomial over blocks where sites allow, else Poisson by row."""
         s, lay, c = self.spec, self.layout, self.spec.control
-        ch = self.rows.chunk
         rng = np.random.default_rng(c.seed + 1)
-        block = self._blocks()
-        prob = ch.w / ch.w.sum() if s.weights_type == "sampling" else np.full(self.n, 1 / self.n)
+        sampling = s.weights_type == "sampling"
+        block_of, n_rows, seed = self._blocks(), self.n, 1000 * c.seed
+        mass = float(self.rows.reduce(lambda ch: (ch.w.sum(),))[0])
+        if block_of is not None:
+            share = self.rows.reduce(lambda ch: (np.bincount(block_of(ch), ch.w if sampling else np.ones(len(ch)), MAX_UNITS),))[0]
+            names = np.flatnonzero(share)
         draws = []
-        base = replace(ch, p=self.state.posterior(ch))
-        for _ in range(B or c.boot_B):
-            if block is None:
-                count = np.bincount(rng.choice(self.n, self.n, p=prob), minlength=self.n)
+        for r in range(B or c.boot_B):
+            if block_of is None:
+                times = lambda ch, r=r: poisson(ch.w * (n_rows / mass) if sampling else np.ones(len(ch)), uniforms(ch.key, seed + r))
             else:
-                names, at = np.unique(block, return_inverse=True)
-                share = np.bincount(at, prob)
-                count = np.bincount(rng.choice(len(names), len(names), p=share / share.sum()), minlength=len(names))[at]
-            keep = np.flatnonzero(count)
-            own = base.take(keep)
-            w = count[keep] * (1.0 if s.weights_type == "sampling" else own.w)
-            own = replace(own, w=w * len(keep) / w.sum())
+                picked = np.bincount(names[rng.choice(len(names), len(names), p=share[names] / share.sum())], minlength=MAX_UNITS)
+                times = lambda ch, picked=picked: picked[block_of(ch)]
+
+            def drawn(ch: Chunk, scale: float = 1.0, times=times) -> Chunk:
+                count = times(ch)
+                own = ch.take(np.flatnonzero(count))
+                return replace(own, w=scale * count[count > 0] * (1.0 if sampling else own.w))
+
+            once = self.rows.mapped(drawn)
             try:
-                got = s._run(LocalRows(own), lay, self.field)
+                n, w = once.reduce(lambda ch: (float(len(ch)), ch.w.sum()))
+                got = s._run(self.rows.mapped(lambda ch, f=n / w: drawn(ch, f)), lay, self.field, self.state.posterior)
             except (np.linalg.LinAlgError, FloatingPointError):
                 continue
             st = got["state"]
@@ -654,15 +690,25 @@ class Fitted:
         self.vcov = {"coef": [cov[k * p : (k + 1) * p, k * p : (k + 1) * p] for k in range(s.G)], "gate": cov[s.G * p :, s.G * p :], "all": cov, "method": "boot", "draws": len(draws)}
         return self.vcov
 
-    def _blocks(self) -> np.ndarray | None:
-        ch, c = self.rows.chunk, self.spec.control
+    def _blocks(self):
+        """Function from rows to block numbers, or None: parts of the graph, or a grid of quantiles of the coordinates."""
+        c = self.spec.control
+        side, enough = c.boot_block, c.min_sites
         if self.field is not None:
-            return areal_blocks(self.field, c.boot_areal_blocks, np.random.default_rng(c.seed))[ch.unit]
+            by_unit = areal_blocks(self.field, c.boot_areal_blocks, np.random.default_rng(c.seed))
+            return lambda ch: by_unit[ch.unit]
         if self.spec.coords and self.layout.spatial_gate and c.boot_block > 1:
-            z = ch.z[:, -2:]  # the plane part of the basis: standardised coordinates
-            if len(np.unique(z, axis=0)) >= c.min_sites:
-                bins = [np.clip(np.searchsorted(np.quantile(z[:, i], np.linspace(0, 1, c.boot_block + 1))[1:-1], z[:, i], side="left"), 0, c.boot_block - 1) for i in (0, 1)]
-                return bins[0] * c.boot_block + bins[1]
+            # the plane part of the basis: standardised coordinates
+            sites = self.rows.reduce(lambda ch: (Few({tuple(v) for v in np.unique(ch.z[:, -2:], axis=0)[:enough].tolist()}, enough),))[0]
+            if len(sites.rows) >= c.min_sites:
+                inner = np.linspace(0, 1, c.boot_block + 1)[1:-1].tolist()
+                cuts = [self.rows.quantiles(inner, lambda ch, i=i: ch.z[:, i]) for i in (-2, -1)]
+
+                def place(ch: Chunk) -> np.ndarray:
+                    one, two = (np.clip(np.searchsorted(cuts[k], ch.z[:, k - 2], side="left"), 0, side - 1) for k in (0, 1))
+                    return one * side + two
+
+                return place
         return None
 
     def confint(self, level: float = 0.95) -> list[tuple[int, str, float, float, float]]:
@@ -687,24 +733,170 @@ class Fitted:
                 rows.append((k + 1, name, float(b), float(s), z, None if z is None else 2 * NormalDist().cdf(-abs(z))))
         return spark.createDataFrame(rows, "regime int, term string, estimate double, se double, z double, p double")
 
-    def moran(self, spark, edges: DataFrame | None = None, nsim: int = 199) -> DataFrame:
-        """Permutation Moran test of unit residuals before (effects dropped) and after: (stage, statistic, p_value, n_units, nsim)."""
+    def gate_table(self, spark) -> DataFrame:
+        """(regime, term, estimate, se, z, p) of the gate's covariates, against regime 1."""
+        if self.vcov is None:
+            self.sandwich()
+        q1, rows = len(self.layout.pen_gamma), []
+        for a in range(self.spec.G - 1):
+            for i, name in enumerate(self.z_names):
+                at, v = a * q1 + i, self.vcov["gate"]
+                se = float(np.sqrt(max(v[at, at], 0))) if v is not None and at < len(v) else None
+                b = float(self.state.gamma[i, a])
+                z = b / se if se else None
+                rows.append((a + 2, name, b, se, z, None if z is None else 2 * NormalDist().cdf(-abs(z))))
+        return spark.createDataFrame(rows, "regime int, term string, estimate double, se double, z double, p double")
+
+    def spatial_table(self, spark) -> DataFrame:
+        """(regime, kind, n_units, n_components, alpha, lambda, variance) of the spatial effect; empty without one."""
+        e, rows = self.spec.spatial_error, []
+        if self.field is not None:
+            lam = self.spec.control.lambda_error if self.spec.lambda_error is None else self.spec.lambda_error
+            rows = [(k + 1, e.kind, self.field.size, len(np.unique(self.field.component)), None if e.kind == "nngp" else e.alpha, lam, float(self.state.phi[:, k].var(ddof=1))) for k in range(self.spec.G)]
+        return spark.createDataFrame(rows, "regime int, kind string, n_units int, n_components int, alpha double, lambda double, variance double")
+
+    def deconfounding(self, spark) -> DataFrame:
+        """(term, spatial_r2) of the covariates whose smooth was taken out."""
+        rows = [(self.x_names[j], float(r2)) for j, (_, r2) in (self.plus or {"fits": {}})["fits"].items()]
+        return spark.createDataFrame(rows, "term string, spatial_r2 double")
+
+    def diagnostics(self, spark) -> DataFrame:
+        """One row: likelihood, degrees of freedom, criteria, convergence, gate condition, class entropy, effective rows."""
+        e = self.edf
+        row = (e["loglik"], e["total"], e["aic"], e["bic"], bool(self.run["converged"]), int(self.run["iterations"]), self.run["gate_cond"], e["class_entropy"], float(e["nobs"]))
+        return spark.createDataFrame([row], "loglik double, edf double, aic double, bic double, converged boolean, iterations int, gate_cond double, class_entropy double, n_eff double")
+
+    def __repr__(self) -> str:
+        s = self.spec
+        head = f"Spatial mixture of quantile regressions: G = {s.G}, tau = {s.tau:.3g}, method = {s.method}, spatial gate: {self.layout.spatial_gate}, spatial slopes: {self.layout.spatial_coef}"
+        lines = [head, *(f"  regime {k + 1}: " + ", ".join(f"{n} {v:.4f}" for n, v in zip(self.x_names, self.coef[:, k])) for k in range(s.G))]
+        if math.isfinite(self.edf.get("loglik", math.nan)):
+            lines.append(f"  logLik = {self.edf['loglik']:.2f}, edf = {self.edf['total']:.2f}, AIC = {self.edf['aic']:.1f}, BIC = {self.edf['bic']:.1f}")
+        return "\n".join(lines)
+
+    # -- rows of df with what the model says of them
+    def fitted(self, df: DataFrame) -> DataFrame:
+        """df with fitted: the quantiles weighted by the posterior."""
+        out = self.transform(df)
+        mean = F.aggregate(F.zip_with("posterior", "quantiles", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+        return out.select(*(F.col(f"`{c}`") for c in df.columns), mean.alias("fitted"))
+
+    def residuals(self, df: DataFrame) -> DataFrame:
+        """df with fitted and residual."""
+        return self.fitted(df).withColumn("residual", self.formula.response_column()[0].cast("double") - F.col("fitted"))
+
+    def class_map(self, df: DataFrame) -> DataFrame:
+        """(regime, coord1, coord2 | region): the likeliest regime of every row."""
+        g = self.spec.G
+        out = self.transform(df).withColumn("regime", scalar.first_max([F.get("posterior", F.lit(k)) for k in range(g)]))
+        s = self.spec
+        place = [F.col(s.coords[0]).alias("coord1"), F.col(s.coords[1]).alias("coord2")] if s.coords else [F.col(s.region).alias("region")] if s.region else []
+        return out.select("regime", *place)
+
+    def density_table(self, spark, points: int = 512) -> DataFrame:
+        """(regime, residual, density): kernel densities of each regime's residuals over all rows, unweighted, on a grid."""
+        st, rows = self.state, []
+        plain = solvers.State(st.beta, st.phi, st.gamma, [], st.tau)
+        for k in range(self.spec.G):
+            one = lambda c, k=k: (c.y[:, None] - plain.fitted(c))[:, k]
+            n, m, q = self.rows.reduce(lambda c: (lambda e: (float(len(e)), e.sum(), (e * e).sum()))(one(c)))
+            low, high = self.rows.quantiles([0.25, 0.75], one)
+            least, most = self.rows.quantiles([0.0, 1.0], one)
+            sd = math.sqrt(max(q - m * m / n, 0.0) / max(n - 1, 1.0))
+            width = 0.9 * (min(sd, (high - low) / 1.34) or sd or 1.0) * n**-0.2
+            grid = np.linspace(least - 3 * width, most + 3 * width, points)
+            step = grid[1] - grid[0]
+            count = self.rows.reduce(lambda c: (np.bincount(np.clip(np.rint((one(c) - grid[0]) / step).astype(int), 0, points - 1), minlength=points),))[0]
+            reach = int(np.ceil(4 * width / step))
+            kernel = pdf(np.arange(-reach, reach + 1) * step / width) / (width * n)
+            value = np.convolve(count, kernel)[reach : reach + points]
+            rows += [(k + 1, float(a), float(b)) for a, b in zip(grid, value)]
+        return spark.createDataFrame(rows, "regime int, residual double, density double")
+
+    def slope_surface(self, df: DataFrame, covariate: int = 1) -> DataFrame:
+        """df with slopes: one covariate's slope in every regime at the row's place."""
+        lay, st = self.layout, self.state
+        out = df.withColumn("_b", self._basis_column()) if lay.blocks else df
+        slopes = []
+        for k in range(self.spec.G):
+            v = F.lit(float(st.beta[lay.const_rows[covariate], k]))
+            if lay.blocks:
+                v = v + scalar.dot([F.get("_b", F.lit(j)) for j in range(lay.r)], st.beta[lay.blocks[covariate - 1], k])
+            slopes.append(v)
+        return out.select(*(F.col(f"`{c}`") for c in df.columns), F.array(*slopes).alias("slopes"))
+
+    def stability(self, df: DataFrame, covariate: int = 1) -> DataFrame:
+        """One row: the share of places where the regimes' slopes are not in their average order."""
+        names = [f"_slope{k}" for k in range(self.spec.G)]
+        return label_stability(self.slope_surface(df, covariate).select(*(F.get("slopes", F.lit(k)).alias(n) for k, n in enumerate(names))), names)
+
+    # -- residual autocorrelation
+    def unit_sums(self, phi: np.ndarray) -> np.ndarray:
+        """Responsibility-weighted mean residual of every unit, nan where it has no rows."""
+        st, n = self.state, self.field.size
+
+        def sums(c: Chunk):
+            e = (st.posterior(c) * (c.y[:, None] - c.x @ st.beta - phi[c.unit])).sum(1)
+            return np.bincount(c.unit, e, n), np.bincount(c.unit, minlength=n)
+
+        total, count = self.rows.reduce(sums)
+        with np.errstate(all="ignore"):
+            return total / count
+
+    def moran(self, spark, edges: DataFrame | None = None, nsim: int = 199, df: DataFrame | None = None, units: DataFrame | None = None) -> DataFrame:
+        """Permutation Moran test of unit residuals: (stage, statistic, p_value, n_units, nsim).
+
+        edges (i, j, w over unit numbers) replaces the model's own graph. With a spatial effect there are two rows, before (effects
+        dropped) and after. Without one edges are needed, and df with its units (unit and x, y or region), of which the
+        residuals are averaged.
+        """
         from terraquant.operators.moran import permutation_test
 
         if self.field is None:
-            raise ValueError("needs a spatial effect; use operators.moran on unit residuals otherwise")
-        ch, st = self.rows.chunk, self.state
-        w = -(self.field.q - np.diag(np.diag(self.field.q))) / (self.spec.spatial_error.alpha if self.spec.spatial_error.kind == "proper" else 1.0)
-        rows = []
-        for stage, phi in (("before", np.zeros_like(st.phi)), ("after", st.phi)):
-            e = (st.posterior(ch) * (ch.y[:, None] - ch.x @ st.beta - phi[ch.unit])).sum(1)
-            n = np.bincount(ch.unit, minlength=self.field.size)
-            with np.errstate(all="ignore"):
-                z = np.bincount(ch.unit, e, self.field.size) / n
-            rows.append((stage, *permutation_test(z, w, nsim, self.spec.control.seed), nsim))
+            if edges is None or df is None or units is None:
+                raise ValueError("a fit without a spatial effect needs edges, df and units")
+            s = self.spec
+            part = self.residuals(df)
+            if s.region:
+                keyed = part.join(units.select("unit", F.col("region").alias("_region")), F.col(s.region).cast("string") == F.col("_region"))
+            else:
+                keyed = part.join(units.select("unit", F.col("x").alias("_ux"), F.col("y").alias("_uy")), (F.col(s.coords[0]).cast("double") == F.col("_ux")) & (F.col(s.coords[1]).cast("double") == F.col("_uy")))
+            got = keyed.groupBy("unit").agg(F.avg("residual").alias("r")).toPandas()
+            n = units.count()
+            z = np.full(n, np.nan)
+            z[got["unit"].to_numpy() - 1] = got["r"].to_numpy(float)
+            stages = [("single", z)]
+        else:
+            n = self.field.size
+            stages = [("before", self.unit_sums(np.zeros_like(self.state.phi))), ("after", self.unit_sums(self.state.phi))]
+        if n > MAX_UNITS:
+            raise ValueError(f"the test takes at most {MAX_UNITS} units")
+        if edges is not None:
+            e = edges.toPandas()
+            w = np.zeros((n, n))
+            np.add.at(w, (e["i"].to_numpy() - 1, e["j"].to_numpy() - 1), e["w"].to_numpy(float))
+        elif self.field.adjacency is not None:
+            w = self.field.adjacency
+        else:
+            w = -(self.field.q - np.diag(np.diag(self.field.q))) / (self.spec.spatial_error.alpha if self.spec.spatial_error.kind == "proper" else 1.0)
+        rows = [(stage, *permutation_test(z, w, nsim, self.spec.control.seed), nsim) for stage, z in stages]
         return spark.createDataFrame(rows, "stage string, statistic double, p_value double, n_units int, nsim int")
 
 
+def poisson(mean: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Poisson numbers with given means from numbers in (0, 1)."""
+    out, p = np.zeros(len(u), int), np.exp(-mean)
+    total, k = p.copy(), 0
+    open_rows = u > total
+    while open_rows.any() and k < 1000 + 10 * mean.max(initial=0.0):
+        k += 1
+        p = p * mean / k
+        total = total + p
+        out[open_rows] = k
+        open_rows = u > total
+    return out
+
+
 def expression_columns(text: str) -> set[str]:
     return expression(text)[1]
 
