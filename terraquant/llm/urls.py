@@ -150,6 +150,7 @@ def page_outcomes(pages: DataFrame, model: RuleEnsemble | None = None, cut: floa
     """
     texts = pages.select(F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"), visible_text(F.col("html")).alias("text"))
     if model is not None:
+        texts = stored(texts, "visible")  # the statistics read a text many times, the markup is stripped once
         scored = with_features(texts).withColumn("_score", model.column())
         return scored.select("host", F.when(F.col("text") != "", (F.col("_score") < cut).cast("int")).alias("bad"))
     parts = texts.select("host", F.col("text").alias("_text"), words(F.col("text")).alias("_words"))
