@@ -173,3 +173,22 @@ def interpolated(x: Column, grid, value) -> Column:
     a, b = F.get(known, low), F.get(known, low + 1)
     inside = (at >= 0) & (at <= len(grid) - 1)
     return F.when(inside, a + (b - a) * (at - low)).when(x.isNotNull(), F.lit(0.0))
+
+
+def uniform_draw(key: Column, seed: int, half: int = 0) -> Column:
+    """A number in (0, 1) for each key: 52 bits of the checksum of seed and key, the same in any partitioning. Two halves are independent."""
+    bits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary")), 1 + 13 * half, 13)
+    return (F.conv(bits, 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
+
+
+def normal_draw(key: Column, seed: int) -> Column:
+    """A standard normal number for each key."""
+    return F.sqrt(-2 * F.log(uniform_draw(key, seed))) * F.cos(F.lit(2 * math.pi) * uniform_draw(key, seed, 1))
+
+
+def mixture_mean(probs: list[Column], values: list[Column]) -> Column:
+    """Values weighted by class probabilities."""
+    out = F.lit(0.0)
+    for p, v in zip(probs, values):
+        out = out + p * v
+    return out

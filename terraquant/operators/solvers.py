@@ -164,6 +164,15 @@ def _system(sums, pen: np.ndarray, field: Field | None, lam: float, ridge: float
     return out
 
 
+def least_squares(rows, k: int, old: State, pen: np.ndarray, field: Field | None = None, lam: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Penalised weighted least squares of regime k, the start of its quantile regression: (b, phi)."""
+    m, p = field.size if field else 0, len(pen)
+    s = rows.reduce(_least_squares, k, old, m)
+    rhs = s[1] if field is None else np.concatenate([s[1], s[4]])
+    both = _constrained(_system(s, pen, field, lam, 1e-6), rhs, field, p)
+    return both[:p], both[p:]
+
+
 def _constrained(h: np.ndarray, g: np.ndarray, field: Field | None, p: int) -> np.ndarray:
     """Newton step that keeps every component's sum of effects at zero."""
     if field is None or not field.constrained:
@@ -211,10 +220,7 @@ def smooth_quantile(rows, k: int, old: State, pen: np.ndarray, rate: float, fiel
     m = field.size if field else 0
     p = len(pen)
     if start is None or not np.any(start[0]):
-        s = rows.reduce(_least_squares, k, old, m)
-        rhs = s[1] if field is None else np.concatenate([s[1], s[4]])
-        both = _constrained(_system(s, pen, field, lam, 1e-6), rhs, field, p)
-        b, phi = both[:p], both[p:]
+        b, phi = least_squares(rows, k, old, pen, field, lam)
     else:
         b, phi = start
     s0 = scale_of(rows, b, phi)

@@ -479,10 +479,7 @@ class Fitted:
         pi = scalar.softmax([scalar.dot(gate, st.gamma[:, a]) for a in range(g - 1)])
         out = out.withColumn("prior", F.array(*pi)).withColumn("quantiles", F.array(*q))
         p_at, q_at = [F.get("prior", F.lit(k)) for k in range(g)], [F.get("quantiles", F.lit(k)) for k in range(g)]
-        mixed = F.lit(0.0)
-        for a, b in zip(p_at, q_at):
-            mixed = mixed + a * b
-        out = out.withColumn("quantile", mixed).withColumn("regime", scalar.first_max(p_at))
+        out = out.withColumn("quantile", scalar.mixture_mean(p_at, q_at)).withColumn("regime", scalar.first_max(p_at))
         if self.formula.response and expression_columns(self.formula.response) <= set(df.columns):
             y = self.formula.response_column()[0]
             density = lambda e, d: scalar.ald_density(e, d.sigma, self.spec.tau) if self.spec.method == "ald" else scalar.floored(scalar.interpolated(e, d.grid, d.value))
@@ -559,9 +556,7 @@ class Fitted:
         return self._long(out, [F.get("prior", F.lit(k)) for k in range(self.spec.G)], "prob")
 
     def _long(self, df: DataFrame, values: list[Column], name: str) -> DataFrame:
-        s = self.spec
-        place = [F.col(s.coords[0]).alias("coord1"), F.col(s.coords[1]).alias("coord2")] if s.coords else [F.col(s.region).alias("region")] if s.region else []
-        return df.select(F.posexplode(F.array(*values)).alias("k", name), *place).select((F.col("k") + 1).cast("int").alias("regime"), name, *(c for c in ("coord1", "coord2", "region") if (s.coords and c != "region") or (s.region and c == "region")))
+        return long_surface(df, values, name, self.spec.coords, self.spec.region)
 
     def phi_surface(self, spark, units: list | None = None, ci: bool = True, level: float = 0.95, exp_scale: bool = False, masked: bool = False) -> DataFrame:
         """One row per unit and regime: phi, and with a sandwich also se, lower, upper, credible (and multipliers).
@@ -778,7 +773,8 @@ class Fitted:
     def fitted(self, df: DataFrame) -> DataFrame:
         """df with fitted: the quantiles weighted by the posterior."""
         out = self.transform(df)
-        mean = F.aggregate(F.zip_with("posterior", "quantiles", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+        at = [F.lit(k) for k in range(self.spec.G)]
+        mean = scalar.mixture_mean([F.get("posterior", k) for k in at], [F.get("quantiles", k) for k in at])
         return out.select(*(F.col(f"`{c}`") for c in df.columns), mean.alias("fitted"))
 
     def residuals(self, df: DataFrame) -> DataFrame:
@@ -897,6 +893,23 @@ def poisson(mean: np.ndarray, u: np.ndarray) -> np.ndarray:
     return out
 
 
+def long_surface(df: DataFrame, values: list[Column], name: str, coords: tuple[str, str] | None = None, region: str | None = None) -> DataFrame:
+    """One row per row of df and regime: (regime, name, coord1, coord2 | region)."""
+    place = [F.col(coords[0]).alias("coord1"), F.col(coords[1]).alias("coord2")] if coords else [F.col(region).alias("region")] if region else []
+    long = df.select(F.posexplode(F.array(*values)).alias("_k", name), *place)
+    return long.select((F.col("_k") + 1).cast("int").alias("regime"), *(c for c in long.columns if c != "_k"))
+
+
+def field_variance(phi: DataFrame) -> DataFrame:
+    """(regime, variance) of the effects (regime, unit, phi)."""
+    return phi.groupBy("regime").agg(F.var_samp("phi").alias("variance"))
+
+
+def spatial_share(df: DataFrame, x: Column, smooth: Column) -> DataFrame:
+    """One row (r2): the share of x's variance that its smooth takes away."""
+    return df.agg((1 - F.var_samp(x - smooth) / F.var_samp(x)).alias("r2"))
+
+
 def expression_columns(text: str) -> set[str]:
     return expression(text)[1]
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from itertools import product
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terraquant.functions.scalar import check_loss
 from terraquant.operators.rows import balanced_folds, normalize_weights
 from terraquant.plans.model import Fitted, SpatialQuantileMixture
+from terraquant.session import stored
 
 
 @dataclass
@@ -37,7 +38,7 @@ def select_model(base: SpatialQuantileMixture, df: DataFrame, key: str, G_grid=(
         base = replace(base, spatial_gate=False)
     errors = lambda_error_grid if base.spatial_error is not None else (None,)
     if criterion == "cv":
-        df = balanced_folds(df, folds, key).persist()
+        df = stored(balanced_folds(df, folds, key), "folds")
     rows = []
     for g, lg, lc, le in product(G_grid, lambda_gate_grid, lambda_coef_grid, errors):
         spec = replace(base, G=g, lambda_gate=lg, lambda_coef=lc, lambda_error=le, variance="none")
@@ -54,10 +55,21 @@ def select_model(base: SpatialQuantileMixture, df: DataFrame, key: str, G_grid=(
                 raise e
             score = float("inf")
         rows.append((g, lg, lc, le, float(score)))
-    best = min(rows, key=lambda r: r[4])
+    table = df.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(rows)], "cell int, G int, lambda_gate double, lambda_coef double, lambda_error double, score double")
+    best = rows[best_cells(table, [], "score", "cell").first()["best"]]
     fit = replace(base, G=best[0], lambda_gate=best[1], lambda_coef=best[2], lambda_error=best[3]).fit(df)
-    table = df.sparkSession.createDataFrame(rows, "G int, lambda_gate double, lambda_coef double, lambda_error double, score double")
-    return Selection(fit, best, criterion, table)
+    return Selection(fit, best, criterion, table.drop("cell"))
+
+
+def fold_losses(df: DataFrame, fold: str, residual: Column, tau: float, weight: Column | None = None) -> DataFrame:
+    """(fold, loss): weighted check loss of the residuals in every fold."""
+    loss = check_loss(residual, tau)
+    return df.groupBy(F.col(fold).alias("fold")).agg(F.sum(loss if weight is None else weight * loss).alias("loss"))
+
+
+def best_cells(scores: DataFrame, by: list[str], score: str, key: str) -> DataFrame:
+    """(by, best): key of the row with the least score in each group, the least key of equal ones; the whole table without by."""
+    return scores.groupBy(*by).agg(F.min(F.struct(score, key))[key].alias("best"))
 
 
 def _loss(fit: Fitted, test: DataFrame) -> float:
@@ -66,4 +78,5 @@ def _loss(fit: Fitted, test: DataFrame) -> float:
         test = normalize_weights(test, fit.spec.weights, "_cv_w")
     else:
         test = test.withColumn("_cv_w", F.lit(1.0))
-    return fit.predict(test).agg(F.sum(F.col("_cv_w") * check_loss(y - F.col("quantile"), fit.spec.tau))).first()[0] or 0.0
+    row = fold_losses(fit.predict(test).withColumn("_all", F.lit(0)), "_all", y - F.col("quantile"), fit.spec.tau, F.col("_cv_w")).first()
+    return (row["loss"] if row else None) or 0.0

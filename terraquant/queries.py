@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from terraquant.functions import scalar as S
 from terraquant.operators import graph as G
 from terraquant.operators import rows as R
+from terraquant.plans.model import field_variance as spread_of
+from terraquant.plans.model import long_surface, spatial_share
+from terraquant.plans.select import best_cells, fold_losses
 from terraquant.session import table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,7 +156,7 @@ def normalize_rows(spark, d):
 @query(f"WITH {MIX} SELECT o_orderkey, round(p_1 * (x - e_1) + p_2 * (x - e_2), 6) AS fitted, round(x - (p_1 * (x - e_1) + p_2 * (x - e_2)), 6) AS residual FROM m")
 def fitted_residual(spark, d):
     df = mixture_rows(spark, d)
-    fit = F.col("p_1") * (F.col("x") - F.col("e_1")) + F.col("p_2") * (F.col("x") - F.col("e_2"))
+    fit = S.mixture_mean([F.col("p_1"), F.col("p_2")], [F.col("x") - F.col("e_1"), F.col("x") - F.col("e_2")])
     return df.select("o_orderkey", F.round(fit, 6).alias("fitted"), F.round(F.col("x") - fit, 6).alias("residual"))
 
 
@@ -281,8 +284,8 @@ def label_stability(spark, d):
 @query(f"WITH {POINTS} SELECT k AS regime, round(CASE k WHEN 1 THEN 0.5 + 0.8 * x ELSE -2 - 0.4 * y END, 9) AS slope, x AS coord1, y AS coord2 FROM pt, (VALUES (1), (2)) r(k)")
 def coef_surface_long(spark, d):
     p = points(spark, d)
-    s = F.array(0.5 + 0.8 * F.col("x"), -2 - 0.4 * F.col("y"))
-    return p.select(F.posexplode(s).alias("k", "slope"), "x", "y").select((F.col("k") + 1).alias("regime"), F.round("slope", 9).alias("slope"), F.col("x").alias("coord1"), F.col("y").alias("coord2"))
+    out = long_surface(p, [0.5 + 0.8 * F.col("x"), -2 - 0.4 * F.col("y")], "slope", ("x", "y"))
+    return out.withColumn("slope", F.round("slope", 9))
 
 
 # ---- units and joins
@@ -318,11 +321,11 @@ def distinct_locations(spark, d):
     return points(spark, d).agg(F.countDistinct("x", "y").alias("n_sites"))
 
 
-@query(f"WITH {POINTS}, f AS (SELECT * FROM pt WHERE unit < 200) SELECT round(max(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) / 10, 9) AS reach FROM f a, f b")
+@query(f"WITH {POINTS}, f AS (SELECT * FROM pt ORDER BY unit LIMIT 500) SELECT round(max(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) / 10, 9) AS reach FROM f a, f b")
 def domain_extent(spark, d):
     from terraquant.operators.nngp import default_range
 
-    return spark.createDataFrame([(round(default_range(points(spark, d).where("unit < 200")), 9),)], "reach double")
+    return spark.createDataFrame([(round(default_range(points(spark, d)), 9),)], "reach double")
 
 
 # ---- graphs
@@ -349,17 +352,17 @@ def lattice_rook(spark, d):
 
 
 def _squares(spark, d) -> DataFrame:
-    u = lattice_units(spark, d).where("x <= 12 AND y <= 8")
+    u = lattice_units(spark, d)
     corner = lambda a, b: F.struct((F.col("x") + a).cast("double").alias("x"), (F.col("y") + b).cast("double").alias("y"))
     return u.select("unit", F.array(*(corner(a, b) for a, b in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0)))).alias("ring"))
 
 
-@query(f"WITH {LATTICE_UNITS}, u AS (SELECT * FROM unit WHERE x <= 12 AND y <= 8) SELECT a.unit AS i, b.unit AS j, CAST(1 AS DOUBLE) AS w FROM u a JOIN u b ON a.unit <> b.unit AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1")
+@query(f"WITH {LATTICE_UNITS} SELECT a.unit AS i, b.unit AS j, CAST(1 AS DOUBLE) AS w FROM unit a JOIN unit b ON a.unit <> b.unit AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1")
 def contiguity_queen(spark, d):
     return G.contiguity(_squares(spark, d), "queen")
 
 
-@query(f"WITH {LATTICE_UNITS}, u AS (SELECT * FROM unit WHERE x <= 12 AND y <= 8) SELECT a.unit AS i, b.unit AS j, CAST(1 AS DOUBLE) AS w FROM u a JOIN u b ON abs(a.x - b.x) + abs(a.y - b.y) = 1")
+@query(f"WITH {LATTICE_UNITS} SELECT a.unit AS i, b.unit AS j, CAST(1 AS DOUBLE) AS w FROM unit a JOIN unit b ON abs(a.x - b.x) + abs(a.y - b.y) = 1")
 def contiguity_rook(spark, d):
     return G.contiguity(_squares(spark, d), "rook")
 
@@ -488,13 +491,13 @@ def quantile_type7(spark, d):
 def spatial_r2(spark, d):
     p = points(spark, d)
     means = p.groupBy("label").agg(F.avg("x").alias("m"))
-    return p.join(means, "label").agg(F.round(1 - F.var_samp(F.col("x") - F.col("m")) / F.var_samp("x"), 9).alias("r2"))
+    return spatial_share(p.join(means, "label"), F.col("x"), F.col("m")).select(F.round("r2", 9).alias("r2"))
 
 
 @query("SELECT n_regionkey AS regime, round(var_samp(phi), 6) AS variance FROM (SELECT n_regionkey, n_nationkey, avg(c_acctbal) AS phi FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2) GROUP BY 1")
 def field_variance(spark, d):
     j = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return j.groupBy(F.col("n_regionkey").alias("regime"), "n_nationkey").agg(F.avg("c_acctbal").alias("phi")).groupBy("regime").agg(F.round(F.var_samp("phi"), 6).alias("variance"))
+    return spread_of(j.groupBy(F.col("n_regionkey").alias("regime"), "n_nationkey").agg(F.avg("c_acctbal").alias("phi"))).withColumn("variance", F.round("variance", 6))
 
 
 @query("SELECT c_nationkey, count(*) AS n, round(max(c_acctbal) - min(c_acctbal), 6) AS spread, round(avg(c_acctbal), 6) AS mean FROM customer GROUP BY c_nationkey")
@@ -504,21 +507,22 @@ def grouped_range(spark, d):
 
 @query("SELECT round((syy * 0 + (sxx * sy - sx * sxy)) / (n * sxx - sx * sx), 5) AS intercept, round((n * sxy - sx * sy) / (n * sxx - sx * sx), 7) AS slope FROM (SELECT sum(w) + 0.000001 AS n, sum(w * x) AS sx, sum(w * x * x) + 0.000001 AS sxx, sum(w * y) AS sy, sum(w * x * y) AS sxy, sum(y) AS syy FROM (SELECT CAST(l_linenumber AS DOUBLE) AS w, l_quantity AS x, l_extendedprice AS y FROM lineitem))")
 def wls_warm_start(spark, d):
-    w, x, y = F.col("l_linenumber").cast("double"), F.col("l_quantity"), F.col("l_extendedprice")
-    s = table(spark, d, "lineitem").agg((F.sum(w) + 1e-6).alias("n"), F.sum(w * x).alias("sx"), (F.sum(w * x * x) + 1e-6).alias("sxx"), F.sum(w * y).alias("sy"), F.sum(w * x * y).alias("sxy"))
-    det = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
-    return s.select(F.round((F.col("sxx") * F.col("sy") - F.col("sx") * F.col("sxy")) / det, 5).alias("intercept"), F.round((F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / det, 7).alias("slope"))
+    from terraquant.operators import solvers
+    from terraquant.operators.sums import SparkRows
+
+    one = F.array(F.lit(1.0))
+    rows = table(spark, d, "lineitem").select(F.col("l_extendedprice").alias("y"), F.array(F.lit(1.0), "l_quantity").alias("x"), one.alias("z"), F.col("l_linenumber").cast("double").alias("w"), F.lit(-1).cast("long").alias("unit"), one.alias("p"))
+    state = solvers.State(np.zeros((2, 1)), np.zeros((0, 1)), np.zeros((1, 0)), [], 0.5)
+    b = solvers.least_squares(SparkRows(rows), 0, state, np.zeros((2, 2)))[0]
+    return spark.createDataFrame([(round(float(b[0]), 5), round(float(b[1]), 7))], "intercept double, slope double")
 
 
-@query("WITH r AS (SELECT o_orderpriority AS g, o_totalprice AS y, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) AS r, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders) SELECT g, min(y) AS q FROM r WHERE r >= 0.37 * n GROUP BY g")
+@query("WITH r AS (SELECT o_orderpriority AS g, o_totalprice AS y, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) AS r, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders) SELECT g, round(min(y), 6) AS q FROM r WHERE r >= 0.37 * n GROUP BY g")
 def saturated_qr(spark, d):
     """Quantile regression on one factor: the least value at which the subgradient allows the level, by group."""
-    from pyspark.sql import Window
-
     o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("g"), F.col("o_totalprice").alias("y"))
-    counts = o.groupBy("g", "y").agg(F.count("*").alias("c"))
-    run = counts.withColumn("r", F.sum("c").over(Window.partitionBy("g").orderBy("y"))).join(counts.groupBy("g").agg(F.sum("c").alias("n")), "g")
-    return run.where(F.col("r") >= 0.37 * F.col("n")).groupBy("g").agg(F.min("y").alias("q"))
+    fit = _estimator(formula="y ~ g", G=1, tau=0.37, spatial_coef=False).fit(o)
+    return fit.transform(o.select("g").distinct()).select("g", F.round("quantile", 6).alias("q"))
 
 
 @query(f"WITH {MIX} SELECT round(sum(w * p_1) / sum(w), 6) AS pi_1, round(sum(w * p_2) / sum(w), 6) AS pi_2 FROM m")
@@ -536,7 +540,8 @@ def constant_gate(spark, d):
 @query(f"SELECT CAST(o_orderkey % 5 + 1 AS INTEGER) AS fold, round(sum({_rho('o_totalprice - (120000 + 40 * (o_custkey % 1000))', 0.5)}), 2) AS loss FROM orders GROUP BY 1")
 def cv_check_loss(spark, d):
     u = F.col("o_totalprice") - (120000 + 40 * (F.col("o_custkey") % 1000))
-    return table(spark, d, "orders").groupBy((F.col("o_orderkey") % 5 + 1).cast("int").alias("fold")).agg(F.round(F.sum(S.check_loss(u, 0.5)), 2).alias("loss"))
+    folds = table(spark, d, "orders").withColumn("part", (F.col("o_orderkey") % 5 + 1).cast("int"))
+    return fold_losses(folds, "part", u, 0.5).withColumn("loss", F.round("loss", 2))
 
 
 @query("SELECT CAST(f AS INTEGER) AS fold, count(*) AS n FROM (SELECT (row_number() OVER (ORDER BY c_custkey) - 1) % 5 + 1 AS f FROM customer) GROUP BY f")
@@ -551,7 +556,7 @@ def key_intersection(spark, d):
 
 @query("SELECT o_orderpriority, o_orderkey AS best FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey) AS r FROM orders) WHERE r = 1")
 def best_by_group(spark, d):
-    return table(spark, d, "orders").groupBy("o_orderpriority").agg(F.min(F.struct("o_totalprice", "o_orderkey")).alias("b")).select("o_orderpriority", F.col("b.o_orderkey").alias("best"))
+    return best_cells(table(spark, d, "orders"), ["o_orderpriority"], "o_totalprice", "o_orderkey")
 
 
 @query("SELECT event_id FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
@@ -560,14 +565,13 @@ def unmatched_keys(spark, d):
     return table(spark, d, "events").join(bad, "user_id", "left_anti").select("event_id")
 
 
-# ---- estimators and resampling: no SQL; tests hold them to known truth
+# ---- estimators and resampling: SQL where the fit has a closed form; tests hold the others to known truth
 
 
 def _estimator(**options):
-    from terraquant.plans.model import Control, SpatialQuantileMixture
+    from terraquant.plans.model import SpatialQuantileMixture
 
-    control = options.pop("control", Control(nstart=2, k=8, maxit=30))
-    return SpatialQuantileMixture(**options, control=control)
+    return SpatialQuantileMixture(**options)
 
 
 def median_fit(spark, d, tau: float = 0.5):
@@ -583,11 +587,9 @@ def fit_median(spark, d):
 
 @query()
 def fit_mixture(spark, d):
-    from terraquant.sources.simulate import mixture
-
-    df = mixture(spark, 300, 2, seed=3).persist()
-    fit = _estimator(formula="y ~ x", G=2, coords=("s1", "s2"), spatial_coef=False).fit(df)
-    return fit.transform(df).select("row", "prior", "quantile", "regime", "posterior")
+    p = points(spark, d)
+    fit = _estimator(formula="z ~ label", G=2, coords=("x", "y"), spatial_coef=False).fit(p)
+    return fit.transform(p).select("unit", "prior", "quantile", "regime", "posterior")
 
 
 @query()
@@ -604,43 +606,31 @@ def fit_car(spark, d):
 def fit_nngp(spark, d):
     from terraquant.plans.model import FieldSpec
 
-    p = points(spark, d).where("unit < 150")
-    fit = _estimator(formula="z ~ label", G=1, coords=("x", "y"), spatial_coef=False, spatial_error=FieldSpec(kind="nngp", m=6)).fit(p)
+    fit = _estimator(formula="z ~ label", G=1, coords=("x", "y"), spatial_coef=False, spatial_error=FieldSpec(kind="nngp", m=6)).fit(points(spark, d))
     return fit.phi_surface(spark, ci=False)
 
 
 @query()
 def fit_kde(spark, d):
-    from terraquant.sources.simulate import mixture
-
-    df = mixture(spark, 200, 2, seed=5).persist()
-    fit = _estimator(formula="y ~ x", G=2, coords=("s1", "s2"), spatial_coef=False, spatial_gate=False, method="kde").fit(df)
+    fit = _estimator(formula="z ~ label", G=2, coords=("x", "y"), spatial_coef=False, spatial_gate=False, method="kde").fit(points(spark, d))
     return fit.coef_frame(spark)
 
 
 @query()
 def surface_slopes(spark, d):
-    from terraquant.sources.simulate import mixture
-
-    df = mixture(spark, 300, 1, coef_slope=2.0, seed=4).persist()
-    fit = _estimator(formula="y ~ x", G=1, coords=("s1", "s2")).fit(df)
-    return fit.coef_surface(df)
+    p = points(spark, d)
+    return _estimator(formula="z ~ label", G=1, coords=("x", "y")).fit(p).coef_surface(p)
 
 
 @query()
 def surface_gate(spark, d):
-    from terraquant.sources.simulate import mixture
-
-    df = mixture(spark, 300, 2, seed=3).persist()
-    return _estimator(formula="y ~ x", G=2, coords=("s1", "s2"), spatial_coef=False).fit(df).gate_surface(df)
+    p = points(spark, d)
+    return _estimator(formula="z ~ label", G=2, coords=("x", "y"), spatial_coef=False).fit(p).gate_surface(p)
 
 
 @query()
 def spatial_plus(spark, d):
-    from terraquant.sources.simulate import confounded
-
-    df = confounded(spark, 300).persist()
-    return _estimator(formula="y ~ x", G=1, coords=("s1", "s2"), spatial_coef=False, spatial_plus=True).fit(df).coef_frame(spark)
+    return _estimator(formula="z ~ label", G=1, coords=("x", "y"), spatial_coef=False, spatial_plus=True).fit(points(spark, d)).coef_frame(spark)
 
 
 @query()
@@ -648,36 +638,78 @@ def sandwich_summary(spark, d):
     return median_fit(spark, d)[1].summary(spark)
 
 
+_SANDWICH = f"""
+WITH o AS (SELECT o_orderpriority AS g, o_totalprice / 1000 AS y FROM orders),
+r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY y) AS r, count(*) OVER (PARTITION BY g) AS n FROM o),
+q AS (SELECT g, min(y) AS q FROM r WHERE r >= 0.37 * n GROUP BY g),
+e AS (SELECT g, y - q AS e FROM o JOIN q USING (g)),
+c AS (SELECT median(e) AS m, CAST(count(*) AS DOUBLE) AS n FROM e),
+h AS (SELECT greatest(1e-3, pow(ln(greatest(max(n), 3)) / greatest(max(n), 3), 0.2) * 1.4826 * median(abs(e - m))) AS h FROM e, c),
+k AS (SELECT g, exp(-0.5 * (e / h) * (e / h)) / 2.5066282746310002 / h AS k, 0.37 - 1 + 0.5 * {_erfc_sql("(-(e / h) / 1.4142135623730951)")} AS psi FROM e, h),
+v AS (SELECT g, sum(psi * psi) / (sum(k) * sum(k)) AS v FROM k GROUP BY g),
+b AS (SELECT q.g, q.q, v.v, min(q.g) OVER () AS g0 FROM q JOIN v USING (g))
+SELECT CASE WHEN a.g = a.g0 THEN '(Intercept)' ELSE 'g' || a.g END AS term, round(CASE WHEN a.g = a.g0 THEN a.q ELSE a.q - z.q END, 5) AS estimate,
+       round(sqrt(CASE WHEN a.g = a.g0 THEN a.v ELSE a.v + z.v END), 5) AS se
+FROM b a JOIN b z ON z.g = a.g0"""
+
+
+@query(_SANDWICH)
+def sandwich_saturated(spark, d):
+    """Estimates and standard errors of a quantile regression on one factor, which have a closed form."""
+    o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("g"), (F.col("o_totalprice") / 1000).alias("y"))
+    fit = _estimator(formula="y ~ g", G=1, tau=0.37, spatial_coef=False).fit(o)
+    return fit.summary(spark).select("term", F.round("estimate", 5).alias("estimate"), F.round("se", 5).alias("se"))
+
+
+@query(f"WITH o AS (SELECT o_orderpriority AS g, o_totalprice AS y FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY y) AS r, count(*) OVER (PARTITION BY g) AS n FROM o), q AS (SELECT g, min(y) AS q, min(n) AS n FROM r WHERE r >= 0.37 * n GROUP BY g), s AS (SELECT sum({_rho('y - q', 0.37)}) / count(*) AS s, count(*) AS n FROM o JOIN q USING (g)), l AS (SELECT n, 6.0 AS df, n * ln(0.2331 / s) - n AS ll FROM s) SELECT round(ll, 3) AS loglik, round(-2 * ll + 2 * df, 3) AS aic, round(-2 * ll + ln(n) * df, 3) AS bic, n AS nobs FROM l")
+def fit_criteria(spark, d):
+    """Likelihood and criteria of a quantile regression on one factor."""
+    o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("g"), F.col("o_totalprice").alias("y"))
+    fit = _estimator(formula="y ~ g", G=1, tau=0.37, spatial_coef=False).fit(o)
+    return spark.createDataFrame([(round(fit.loglik, 3), round(fit.aic(), 3), round(fit.bic, 3), fit.nobs)], "loglik double, aic double, bic double, nobs long")
+
+
 @query()
 def bootstrap_interval(spark, d):
-    from terraquant.sources.simulate import mixture
-
-    df = mixture(spark, 150, 1, seed=6).persist()
-    fit = _estimator(formula="y ~ x", G=1, coords=("s1", "s2"), spatial_coef=False).fit(df)
-    fit.bootstrap(20)
+    fit = _estimator(formula="z ~ label", G=1, coords=("x", "y"), spatial_coef=False).fit(points(spark, d))
+    fit.bootstrap()
     return spark.createDataFrame(fit.confint(), "regime int, term string, estimate double, lower double, upper double")
 
 
 @query()
 def model_selection(spark, d):
     from terraquant.plans.select import select_model
-    from terraquant.sources.simulate import mixture
 
-    df = mixture(spark, 200, 2, seed=3).persist()
-    return select_model(_estimator(formula="y ~ x", coords=("s1", "s2"), spatial_coef=False), df, "row", G_grid=(1, 2), lambda_gate_grid=(1.0,)).table
+    return select_model(_estimator(formula="z ~ label", coords=("x", "y"), spatial_coef=False), points(spark, d), "unit").table
 
 
-@query()
+_PERMUTED = f"""
+WITH {NATIONS}, z AS (SELECT CAST(c_nationkey AS BIGINT) AS unit, avg(c_acctbal) AS z FROM customer GROUP BY c_nationkey),
+e AS (SELECT s AS sim, unit, z FROM z, range(0, 1000) t(s)),
+o AS (SELECT *, row_number() OVER (PARTITION BY sim ORDER BY unit) AS own, row_number() OVER (PARTITION BY sim ORDER BY md5('1:' || sim || ':' || unit), unit) AS dealt FROM e),
+d AS (SELECT a.sim, a.unit, b.z - (SELECT avg(z) FROM z) AS c FROM o a JOIN o b ON a.sim = b.sim AND b.own = CASE WHEN a.sim = 0 THEN a.own ELSE a.dealt END)
+SELECT CAST(x.sim AS INTEGER) AS sim, round((SELECT count(*) FROM z) / s0 * a / q, 8) AS statistic
+FROM (SELECT l.sim, sum(l.c * w * r.c) AS a, sum(w) AS s0 FROM ne JOIN d l ON l.unit = i JOIN d r ON r.unit = j AND r.sim = l.sim GROUP BY l.sim) x
+JOIN (SELECT sim, sum(c * c) AS q FROM d GROUP BY sim) y ON x.sim = y.sim"""
+
+
+def permuted_moran(spark, d) -> DataFrame:
+    from terraquant.operators.moran import permutation_statistics
+
+    z = table(spark, d, "customer").groupBy(F.col("c_nationkey").cast("long").alias("unit")).agg(F.avg("c_acctbal").alias("z"))
+    return permutation_statistics(z, nation_edges(spark, d))
+
+
+@query(_PERMUTED)
 def moran_permutations(spark, d):
-    from terraquant.operators.moran import distributed_test
+    return permuted_moran(spark, d).withColumn("statistic", F.round("statistic", 8))
 
-    e = nation_edges(spark, d).toPandas()
-    w = np.zeros((25, 25))
-    w[e["i"], e["j"]] = e["w"]
-    z = table(spark, d, "customer").groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("z")).orderBy("c_nationkey").toPandas()
-    full = np.full(25, np.nan)
-    full[z["c_nationkey"]] = z["z"]
-    return distributed_test(spark, full, w, 199)
+
+@query(f"WITH p AS ({_PERMUTED}), s AS (SELECT statistic AS seen FROM p WHERE sim = 0) SELECT max(seen) AS statistic, round((1 + sum(CASE WHEN abs(statistic) >= abs(seen) - 1e-15 THEN 1 ELSE 0 END)) / (count(*) + 1), 9) AS p_value, count(*) AS nsim FROM p, s WHERE sim > 0")
+def moran_test(spark, d):
+    from terraquant.operators.moran import permutation_p
+
+    return permutation_p(moran_permutations(spark, d)).withColumn("p_value", F.round("p_value", 9))
 
 
 @query()
@@ -687,11 +719,25 @@ def nngp_precision(spark, d):
     return precision(points(spark, d).select("unit", "x", "y"))
 
 
-@query()
+def _u(seed: int, half: int = 0) -> str:
+    return f"((CAST(CAST('0x' || substr(md5('{seed}:' || row), {1 + 13 * half}, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496)"
+
+
+def _n(seed: int) -> str:
+    return f"(sqrt(-2 * ln({_u(seed)})) * cos(6.283185307179586 * {_u(seed, 1)}))"
+
+
+@query(f"""
+WITH a AS (SELECT row, {_u(1)} AS s1, {_u(2)} AS s2, {_n(3)} AS x, {_n(4)} AS x2, {_u(5)} AS u, {_n(6)} * 0.4 AS e FROM range(0, 1000) t(row)),
+g AS (SELECT *, exp(-0.3 + 4 * (s1 - 0.5)) AS g2, exp(-0.3 + 4 * (s2 - 0.5)) AS g3 FROM a),
+k AS (SELECT *, CASE WHEN u < 1 / (1 + g2 + g3) THEN 1 WHEN u < (1 + g2) / (1 + g2 + g3) THEN 2 ELSE 3 END AS z FROM g),
+m AS (SELECT *, CASE WHEN z = 1 THEN 0.5 + s1 ELSE -2 - s1 END AS slope FROM k)
+SELECT row, round(s1, 9) AS s1, round(s2, 9) AS s2, round(x, 9) AS x, round(x2, 9) AS x2, z, round(slope, 9) AS slope_x, round((z - 1) * 3 + slope * x + 0.5 * x2, 8) AS q,
+       round((z - 1) * 3 + slope * x + 0.5 * x2 + e - (SELECT quantile_cont(e, 0.5) FROM a), 8) AS y FROM m""")
 def simulate_mixture(spark, d):
     from terraquant.sources.simulate import mixture
 
-    return mixture(spark, 1000, 3, coef_slope=1.0)
+    return mixture(spark, 1000, 3, coef_slope=1.0).select("row", "z", *(F.round(c, 8 if c in "qy" else 9).alias(c) for c in ("s1", "s2", "x", "x2", "slope_x", "q", "y")))
 
 
 @query()
@@ -701,21 +747,21 @@ def simulate_field(spark, d):
     return car_lattice(spark, 500, 6, 2)[0]
 
 
-@query()
+@query(f"SELECT row, round(s1, 9) AS s1, round(s2, 9) AS s2, round(f, 9) AS f, round(f + 0.6 * e1, 8) AS x, round(1 + (f + 0.6 * e1) + 2 * f + 0.4 * e2, 8) AS y FROM (SELECT *, sin(6 * s1) + cos(6 * s2) AS f FROM (SELECT row, {_u(1)} AS s1, {_u(2)} AS s2, {_n(3)} AS e1, {_n(4)} AS e2 FROM range(0, 500) t(row)))")
 def simulate_confounded(spark, d):
     from terraquant.sources.simulate import confounded
 
-    return confounded(spark, 500)
+    return confounded(spark, 500).select("row", *(F.round(c, 8 if c in "xy" else 9).alias(c) for c in ("s1", "s2", "f", "x", "y")))
 
 
-@query()
+@query(f"SELECT row, round(CASE WHEN u < 0.3 THEN 2.0 / 0.7 * ln(u / 0.3) ELSE -2.0 / 0.3 * ln((1 - u) / 0.7) END, 8) AS e FROM (SELECT row, {_u(1)} AS u FROM range(0, 1000) t(row))")
 def simulate_laplace(spark, d):
     from terraquant.sources.simulate import laplace
 
-    return laplace(spark, 1000, 0.3, 2.0)
+    return laplace(spark, 1000, 0.3, 2.0).withColumn("e", F.round("e", 8))
 
 
-@query()
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5('7:' || o_orderkey), o_orderkey LIMIT 500")
 def sample_rows(spark, d):
     from terraquant.sources.tables import sample_rows as sample
 

@@ -1,4 +1,4 @@
-"""Simulated tables with known truth, generated on the executors."""
+"""Simulated tables with known truth, generated on the executors: draws depend on seed and row number alone."""
 
 from __future__ import annotations
 
@@ -6,12 +6,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraquant.functions.scalar import ald_draw, softmax
+from terraquant.functions.scalar import ald_draw, normal_draw, softmax, uniform_draw
 
 
 def _centred_noise(df: DataFrame, tau: float, sd: float, seed: int, error: str) -> DataFrame:
     """Adds eps, shifted so that its empirical tau-quantile is 0."""
-    raw = F.randn(seed) * sd if error == "normal" else ald_draw(F.greatest(F.rand(seed), F.lit(1e-12)), tau, sd)
+    raw = normal_draw(F.col("row"), seed) * sd if error == "normal" else ald_draw(uniform_draw(F.col("row"), seed), tau, sd)
     df = df.withColumn("eps", raw)
     shift = df.agg(F.percentile("eps", F.lit(tau)).alias("q")).first()["q"]
     return df.withColumn("eps", F.col("eps") - (shift or 0.0))
@@ -27,7 +27,7 @@ def _choose(probs: list[Column], u: Column) -> Column:
 
 def mixture(spark: SparkSession, n: int = 400, G: int = 2, tau: float = 0.5, gate_slope: float = 2.0, coef_slope: float = 0.0, sep: float = 3.0, sd: float = 0.4, crossing: bool = False, error: str = "normal", seed: int = 1) -> DataFrame:
     """row, s1, s2, x, x2, z (regime), q (its quantile), y: a mixture whose shares and slopes vary over the unit square."""
-    df = spark.range(n).withColumnRenamed("id", "row").select("row", F.rand(seed).alias("s1"), F.rand(seed + 1).alias("s2"), F.randn(seed + 2).alias("x"), F.randn(seed + 3).alias("x2"), F.rand(seed + 4).alias("u"))
+    df = spark.range(n).withColumnRenamed("id", "row").select("row", uniform_draw(F.col("row"), seed).alias("s1"), uniform_draw(F.col("row"), seed + 1).alias("s2"), normal_draw(F.col("row"), seed + 2).alias("x"), normal_draw(F.col("row"), seed + 3).alias("x2"), uniform_draw(F.col("row"), seed + 4).alias("u"))
     scores = [F.lit(-0.3) + gate_slope * 2 * (F.col("s1") - 0.5), F.lit(-0.3) + gate_slope * 2 * (F.col("s2") - 0.5)][: G - 1]
     df = df.withColumn("z", _choose(softmax(scores), F.col("u")))
     first, s = F.col("z") == 1, F.col("s1")
@@ -59,7 +59,7 @@ def car_lattice(spark: SparkSession, n: int = 600, side: int = 8, G: int = 1, ta
     phi = (phi - phi.mean(0)) / phi.std(0, ddof=1) * spread
     cells = [(i + 1, i % side + 1, i // side + 1, *map(float, phi[i])) for i in range(side * side)]
     truth = spark.createDataFrame(cells, "unit long, x int, y int, " + ", ".join(f"phi_{k + 1} double" for k in range(G)))
-    df = spark.range(n).withColumnRenamed("id", "row").select("row", (F.floor(F.rand(seed) * side * side) + 1).cast("long").alias("unit"), F.randn(seed + 1).alias("x"), F.randn(seed + 2).alias("x2"), (F.floor(F.rand(seed + 3) * G) + 1).cast("int").alias("z"))
+    df = spark.range(n).withColumnRenamed("id", "row").select("row", (F.floor(uniform_draw(F.col("row"), seed) * side * side) + 1).cast("long").alias("unit"), normal_draw(F.col("row"), seed + 1).alias("x"), normal_draw(F.col("row"), seed + 2).alias("x2"), (F.floor(uniform_draw(F.col("row"), seed + 3) * G) + 1).cast("int").alias("z"))
     slopes = [0.8] if G == 1 else [0.8, -1.2, 0.3][:G]
     k = F.col("z") - 1
     df = df.join(F.broadcast(truth.drop("x", "y")), "unit")
@@ -72,10 +72,10 @@ def car_lattice(spark: SparkSession, n: int = 600, side: int = 8, G: int = 1, ta
 
 def confounded(spark: SparkSession, n: int = 400, beta: float = 1.0, confound: float = 1.0, amp: float = 2.0, freq: float = 6.0, sd: float = 0.4, seed: int = 1) -> DataFrame:
     """row, s1, s2, f, x, y: a covariate that follows the unmeasured surface f."""
-    df = spark.range(n).withColumnRenamed("id", "row").select("row", F.rand(seed).alias("s1"), F.rand(seed + 1).alias("s2"), F.randn(seed + 2).alias("e1"), F.randn(seed + 3).alias("e2"))
+    df = spark.range(n).withColumnRenamed("id", "row").select("row", uniform_draw(F.col("row"), seed).alias("s1"), uniform_draw(F.col("row"), seed + 1).alias("s2"), normal_draw(F.col("row"), seed + 2).alias("e1"), normal_draw(F.col("row"), seed + 3).alias("e2"))
     df = df.withColumn("f", F.sin(freq * F.col("s1")) + F.cos(freq * F.col("s2"))).withColumn("x", confound * F.col("f") + 0.6 * F.col("e1"))
     return df.withColumn("y", 1 + beta * F.col("x") + amp * F.col("f") + sd * F.col("e2")).drop("e1", "e2")
 
 
 def laplace(spark: SparkSession, n: int, tau: float = 0.5, sigma: float = 1.0, seed: int = 1) -> DataFrame:
-    return spark.range(n).select(F.col("id").alias("row"), ald_draw(F.greatest(F.rand(seed), F.lit(1e-12)), tau, sigma).alias("e"))
+    return spark.range(n).select(F.col("id").alias("row"), ald_draw(uniform_draw(F.col("id"), seed), tau, sigma).alias("e"))

@@ -45,4 +45,4 @@ def with_rates(df: DataFrame, cases: str, base: str, part: str, name: str = "rat
 
 def sample_rows(df: DataFrame, n: int, key: str, seed: int = 7) -> DataFrame:
     """n rows by a seeded hash of key: the same rows on every run and any partitioning."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), key).limit(n)
