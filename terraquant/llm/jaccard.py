@@ -233,9 +233,9 @@ def cross_pairs(token: np.ndarray, doc: np.ndarray, size: np.ndarray, group: np.
         yield counted()
 
 
-def runs(key: np.ndarray, size: np.ndarray, percent: int, step: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def runs(key: np.ndarray, size: np.ndarray, percent: int, step: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Blocks of (i, j), i < j, of rows with one key whose sizes allow a link; rows are sorted by (key, size)."""
-    wide = np.int64(1) << 40
+    wide = np.int64(1) << 32
     reach = np.searchsorted(key * wide + size, key * wide + 100 * size // percent, side="right")
     count = np.maximum(reach - np.arange(1, len(key) + 1), 0)
     total = np.concatenate([[0], np.cumsum(count)])
@@ -319,7 +319,12 @@ def close_pairs(deal: np.ndarray, side: np.ndarray, doc: np.ndarray, size: np.nd
     two sets share, no more than the rest can be shared. Sketches bound from below in how many members the sets differ.
     """
     order = np.lexsort((size, deal))
-    listed = {k: set(v) for k, v in enumerate(partners.to_pylist()) if v is not None}
+    known = pc.is_valid(partners).to_numpy(zero_copy_only=False)
+    starts, flat = partners.offsets.to_numpy(), partners.values.to_numpy()
+
+    def meet(x: int, y: int) -> bool:
+        return not (known[x] and known[y]) or bool(np.isin(flat[starts[x] : starts[x + 1]], flat[starts[y] : starts[y + 1]]).any())
+
     for i, j in runs(np.unique(deal[order], return_inverse=True)[1], size[order], percent):
         i, j = order[i], order[j]
         both = size[i] + size[j]
@@ -328,7 +333,7 @@ def close_pairs(deal: np.ndarray, side: np.ndarray, doc: np.ndarray, size: np.nd
         i, j, most = i[fine], j[fine], (both - 2 * need)[fine]
         near = sketch_distances(sketches, i, j) <= most
         i, j = i[near], j[near]
-        again = np.fromiter((x not in listed or y not in listed or not listed[x].isdisjoint(listed[y]) for x, y in zip(i.tolist(), j.tolist())), bool, count=len(i))
+        again = np.fromiter((meet(x, y) for x, y in zip(i.tolist(), j.tolist())), bool, count=len(i))
         x, y = doc[i[again]], doc[j[again]]
         if len(x):
             pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
@@ -396,7 +401,7 @@ def index_pairs(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
         held: list[pa.RecordBatch] = []
         for b in batches:
             held.append(b)
-            if sum(x.num_rows for x in held) >= 4 * limit:
+            if sum(x.num_rows for x in held) >= limit:
                 whole = pa.Table.from_batches(held)
                 deals = whole.column(0).to_numpy()
                 cut = int(np.searchsorted(deals, deals[-1]))  # the last deal may go on

@@ -21,6 +21,8 @@ EPOCHS = 2
 #: Rows aimed at in one block of a source.
 BLOCK_ROWS = 2_000
 SEED = "mix"
+#: Sources up to which their cuts are broadcast; more are joined by a shuffle.
+BROADCAST_SOURCES = 100_000
 
 
 def random_key(doc_id: Column, seed: str = SEED) -> Column:
@@ -50,14 +52,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return per.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) for every row of docs (doc_id, text, source).
-
-    size counts words; a null or empty text has size 0 and nothing taken. Each source gives floor(target)
-    words exactly: whole epochs of every document, then documents by key until the budget is used, the
-    last one in part. Null ids share the key of the empty string; equal keys are ordered by id and size, and
-    rows equal in all of these are interchangeable. An empty table gives an empty result.
-    """
+def _placed(docs: DataFrame, weights: tuple[int, ...], share: float, epochs: int, seed: str, block_rows: int) -> DataFrame:
+    """(doc_id, source, size, key, source_size, target, rounds, left) of every row: left is what the budget still holds beyond the whole rounds when the row's turn comes."""
     sizes = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), random_key(F.col("doc_id"), seed).alias("key"))
     sizes = stored(sizes, "sizes")
     targets = source_targets(sizes, weights, share, epochs)
@@ -75,24 +71,44 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     inside = Window.partitionBy("s", "s_null", "block").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     run = blocked.withColumn("run", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     out = run.join(plan, ["s", "s_null", "block"])
-    left = F.col("rest") - F.col("block_start") - F.col("run")
-    taken = F.col("rounds") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left))
+    return out.select("doc_id", "source", "size", "key", "source_size", "target", "rounds", (F.col("rest") - F.col("block_start") - F.col("run")).alias("left"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken) for every row of docs (doc_id, text, source).
+
+    size counts words; a null or empty text has size 0 and nothing taken. Each source gives floor(target)
+    words exactly: whole epochs of every document, then documents by key until the budget is used, the
+    last one in part. Null ids share the key of the empty string; equal keys are ordered by id and size, and
+    rows equal in all of these are interchangeable. An empty table gives an empty result.
+    """
+    out = _placed(docs, weights, share, epochs, seed, block_rows)
+    taken = F.col("rounds") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("left")))
     return out.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def source_cuts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(source, rounds, cut_key, cut_id): whole epochs of each source, and its last document of the epoch that is cut; null keys where none is."""
+    placed = _placed(docs, weights, share, epochs, seed, block_rows)
+    last = F.max(F.when((F.col("left") > 0) & (F.col("size") > 0), F.struct("key", "doc_id")))
+    cuts = placed.groupBy("source").agg(F.max("rounds").cast("int").alias("rounds"), last.alias("cut"))
+    return cuts.select("source", "rounds", F.col("cut.key").alias("cut_key"), F.col("cut.doc_id").alias("cut_id"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The rows of docs as the mix takes them: once per epoch that takes any of the document, whole, with their own columns.
 
     A document cut by its source's budget stays whole, so a source may exceed its target by one document.
-    Documents of which nothing is taken (among them those without words) go. Needs distinct ids to tell rows
-    apart; rows that repeat an id (or have none) are each taken as often as the most-taken of them. An empty table gives an
-    empty result.
+    Documents of which nothing is taken (among them those without words) go. Rows of one source that share an id (or have
+    none) come and go together. An empty table gives an empty result. Documents are not shuffled: what a row's source
+    takes follows from its key and the source's cut.
     """
-    plan = mix(docs, **options).where("taken > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("_copies"))
-    plan = stored(plan, "copies")
-    packed = docs.select("doc_id", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_packed"))
-    named = packed.where("doc_id IS NOT NULL").join(plan, F.col("doc_id") == F.col("_id")).select("_packed", "_copies")
-    # one row at most: rows without an id are not gathered in one task
-    nameless = packed.where("doc_id IS NULL").crossJoin(F.broadcast(plan.where("_id IS NULL").select("_copies"))).select("_packed", "_copies")
-    taken = named.unionByName(nameless).select("_packed", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_epoch"))
+    cuts = stored(source_cuts(docs, weights, share, epochs, seed, block_rows), "cuts")
+    cuts = cuts.select(F.col("source").alias("_source"), "rounds", F.struct(F.col("cut_key").alias("key"), F.col("cut_id").alias("doc_id")).alias("cut"))
+    few = cuts.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    packed = docs.select("doc_id", "text", F.col("source").alias("_own"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_packed")).where(F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    joined = packed.join(F.broadcast(cuts) if few else cuts, F.col("_own").eqNullSafe(F.col("_source")))
+    at = F.struct(random_key(F.col("doc_id"), seed).alias("key"), F.col("doc_id"))
+    copies = F.col("rounds") + F.when(F.col("cut.key").isNotNull() & (at <= F.col("cut")), 1).otherwise(0)
+    taken = joined.select("_packed", copies.alias("_copies")).where("_copies > 0").select("_packed", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_epoch"))
     return taken.select(*(F.col("_packed").getField(c).alias(c) for c in docs.columns))
