@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from terraquant.functions.scalar import distance
 from terraquant.operators.components import connected_components
+from terraquant.operators.neighbours import nearest as by_cells
 from terraquant.session import stored
 
 
@@ -98,7 +99,7 @@ def nearest(units: DataFrame, k: int, order: str | None = None) -> DataFrame:
 
 def knn_graph(units: DataFrame, k: int = 5) -> DataFrame:
     """Symmetrised k-nearest-neighbour edges of weight 1."""
-    directed = nearest(units, k).select("i", "j")
+    directed = by_cells(units, k).select("i", "j")
     return symmetrize_union(directed).withColumn("w", F.lit(1.0))
 
 

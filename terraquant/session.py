@@ -9,6 +9,11 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes in one batch sent to a Python worker.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
+#: Folders that are deleted at the end.
+_MARKED: set[str] = set()
+
 
 def local_session(name: str = "terraquant", cores: str = "*", partitions: int = 8) -> SparkSession:
     """A local session for tests and benchmarks; cluster jobs bring their own."""
@@ -25,11 +30,15 @@ def local_session(name: str = "terraquant", cores: str = "*", partitions: int =
 
 
 def reachable(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package when it runs from a source tree instead of an installation."""
+    """Let Python workers import this package when it runs from a source tree instead of an installation, and bound
+    the batches they are sent by fewer bytes than the default where the session sets no bound itself.
+    """
     here = str(Path(__file__).resolve().parent.parent)
     env = spark.sparkContext.environment
     if here not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (here, env.get("PYTHONPATH")) if x)
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
     return spark
 
 
@@ -39,12 +48,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir where set, else one local folder per session (tests)."""
+    """This application's folder that all executors share, below spark.checkpoint.dir; without that setting a local one, for local masters only.
+
+    The folder is deleted when the application's JVM ends.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="terraquant-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    own = f"{found.rstrip('/')}/terraquant-{spark.sparkContext.applicationId}"
+    if own not in _MARKED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(own)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _MARKED.add(own)
+    return own
 
 
 def stored(df: DataFrame, label: str = "step") -> DataFrame:

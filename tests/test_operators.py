@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,8 @@ from terraquant.operators.basis import point_basis, region_basis
 from terraquant.operators.components import connected_components
 from terraquant.operators.moran import permutation_test
 
+ROOT = Path(__file__).resolve().parent.parent
+
 
 def edges(spark, pairs, w=1.0):
     return spark.createDataFrame([(a, b, w) for a, b in pairs] + [(b, a, w) for a, b in pairs], "i long, j long, w double")
@@ -161,3 +165,46 @@ def test_nngp_precision_covers_every_embedding(spark):
     want = {r["unit"] for r in Q.points(spark, data).collect()}
     precision = Q.nngp_precision(spark, data).where("i = j").collect()
     assert {r["i"] for r in precision} == want and all(r["v"] > 0 for r in precision)
+
+
+def test_stored_tables_are_shared_and_removed(spark, tmp_path):
+    """Intermediate tables go below spark.checkpoint.dir into the application's folder, which is gone when its JVM has ended."""
+    import subprocess
+    import sys
+
+    code = f"""
+import sys
+sys.path.insert(0, {str(ROOT)!r})
+from pyspark.sql import SparkSession
+from terraquant.session import stored
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", {str(tmp_path)!r}).getOrCreate()
+print(stored(spark.range(5)).count(), len(list(__import__("pathlib").Path({str(tmp_path)!r}).glob("terraquant-*/step-*"))))
+spark.stop()
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
+    assert out.stdout.split() == ["5", "1"], out.stderr
+    assert not list(tmp_path.glob("terraquant-*"))
+
+
+@pytest.mark.parametrize("shape", ["even", "clustered", "column", "lattice", "few"])
+@pytest.mark.parametrize("per_cell", [None, 8])
+def test_nearest_by_equal_cells_equals_brute_force(spark, shape, per_cell):
+    """Cells follow the density: one far point, one dense cluster, equal coordinates and ties make no difference."""
+    from terraquant.operators.neighbours import nearest
+
+    rng = np.random.default_rng(4)
+    xy = {
+        "even": rng.uniform(size=(300, 2)),
+        "clustered": np.vstack([rng.normal(scale=1e-4, size=(200, 2)), rng.normal(5, 1, size=(80, 2)), [[1e6, -1e6]]]),
+        "column": np.column_stack([np.zeros(150), rng.uniform(size=150)]),
+        "lattice": np.array([(a, b) for a in range(15) for b in range(12)], float),
+        "few": rng.uniform(size=(3, 2)),
+    }[shape]
+    n = len(xy)
+    df = spark.createDataFrame([(i + 1, *map(float, v)) for i, v in enumerate(xy)], "unit long, x double, y double")
+    got = {(r["i"], r["rank"]): r["j"] for r in nearest(df, 5, per_cell).collect()}
+    d2 = ((xy[:, None] - xy[None]) ** 2).sum(2)
+    np.fill_diagonal(d2, np.inf)
+    want = {(i + 1, r + 1): int(j) + 1 for i in range(n) for r, j in enumerate(np.lexsort((np.arange(n), d2[i]))[: min(5, n - 1)])}
+    assert got == want
+    assert nearest(df.limit(1), 5).count() == 0 and nearest(df.limit(0), 5).count() == 0
