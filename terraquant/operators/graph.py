@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 from terraquant.functions.scalar import distance
 from terraquant.operators.components import connected_components
 from terraquant.operators.neighbours import nearest as by_cells
+from terraquant.operators.rows import numbered
 from terraquant.session import stored
 
 
 def spatial_units(df: DataFrame, x: str, y: str, row: str) -> DataFrame:
     """(unit, x, y): distinct locations, numbered from 1 by first occurrence in the order of row."""
     first = df.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.min(row).alias("_first"))
-    # one row per location
-    return first.select(F.row_number().over(Window.orderBy("_first", "x", "y")).alias("unit"), "x", "y")
+    return numbered(first, "unit", "_first", "x", "y").select("unit", "x", "y")
 
 
 def with_unit(df: DataFrame, units: DataFrame, x: str, y: str) -> DataFrame:
@@ -163,7 +163,7 @@ def unit_components(edges: DataFrame, units: DataFrame) -> DataFrame:
     """(unit, component): components numbered from 1 by their lowest unit; loops and zero weights tie nothing."""
     linked = connected_components(edges.where("i <> j AND w <> 0"), "i", "j")
     lowest = units.select("unit").join(linked, F.col("unit") == F.col("id"), "left").select("unit", F.coalesce("component", "unit").alias("low"))
-    names = lowest.select("low").distinct().select("low", F.row_number().over(Window.orderBy("low")).alias("component"))
+    names = numbered(lowest.select("low").distinct(), "component", "low")
     return lowest.join(names, "low").select("unit", "component")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraquant.functions.scalar import MAD_FACTOR, check_loss
+from terraquant.session import stored
 
 WEIGHT_TYPES = ("sampling", "frequency", "precision")
 
@@ -119,3 +120,19 @@ def label_stability(df: DataFrame, slopes: list[str]) -> DataFrame:
     both = df.crossJoin(F.broadcast(overall))  # one row
     differs = ranking([F.col(s) for s in slopes]) != ranking([F.col(f"_m{i}") for i in range(len(slopes))])
     return both.agg(F.avg(differs.cast("double")).alias("label_stability"))
+
+
+def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """df with name, the row's number from 1 in the given order of columns, which tells rows apart.
+
+    Rows are sorted in ranges; a range's rows are numbered in their own task, and the ranges' sizes, one a task, give the starts.
+    """
+    ranged = stored(df.orderBy(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = sorted((r["_range"], r["count"]) for r in ranged.groupBy("_range").count().collect())
+    starts, run = [], 0
+    for number, size in sizes:
+        starts.append((number, run))
+        run += size
+    offsets = F.broadcast(df.sparkSession.createDataFrame(starts, "_range int, _start long"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.withColumn("_own", own).join(offsets, "_range").withColumn(name, (F.col("_start") + F.col("_own")).cast("int")).drop("_range", "_own", "_start")

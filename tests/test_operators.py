@@ -208,3 +208,12 @@ def test_nearest_by_equal_cells_equals_brute_force(spark, shape, per_cell):
     want = {(i + 1, r + 1): int(j) + 1 for i in range(n) for r, j in enumerate(np.lexsort((np.arange(n), d2[i]))[: min(5, n - 1)])}
     assert got == want
     assert nearest(df.limit(1), 5).count() == 0 and nearest(df.limit(0), 5).count() == 0
+
+
+def test_rows_are_numbered_in_order(spark):
+    rng = np.random.default_rng(6)
+    keys = [int(v) for v in rng.permutation(5000)]
+    df = spark.createDataFrame([(k // 10, k) for k in keys], "a int, b int").repartition(7)
+    got = {r["b"]: r["n"] for r in R.numbered(df, "n", "a", "b").collect()}
+    assert got == {k: k + 1 for k in range(5000)}
+    assert R.numbered(df.limit(0), "n", "a", "b").count() == 0
