@@ -6,6 +6,9 @@ points of neighbouring cells.
 
 from __future__ import annotations
 
+import warnings
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -236,3 +239,74 @@ def unit_residual(df: DataFrame, residuals: list[str], probs: list[str], units:
         e = e + F.col(p) * F.col(r)
     got = df.groupBy("unit").agg((F.sum(e) / F.count("*")).alias("z"))
     return units.select("unit").join(got, "unit", "left")
+
+
+@dataclass(frozen=True)
+class Weights:
+    """A symmetric weights graph over units: edges (i, j, w), and for a nearest-neighbour process its precision (i, j, v)."""
+
+    kind: str
+    style: str
+    units: DataFrame
+    edges: DataFrame
+    precision: DataFrame | None = None
+
+    def degrees(self) -> DataFrame:
+        """(unit, d), 0 for islands."""
+        d = degree(self.edges).withColumnRenamed("i", "unit")
+        return self.units.select("unit").join(d, "unit", "left").select("unit", F.coalesce("d", F.lit(0.0)).alias("d"))
+
+    def components(self) -> DataFrame:
+        return unit_components(self.edges, self.units)
+
+    def summary(self) -> DataFrame:
+        """One row (n_units, n_links, n_components, n_islands)."""
+        count = lambda df, name: df.agg(F.count("*").alias(name))
+        parts = self.components().agg(F.countDistinct("component").alias("n_components"))
+        rows = count(self.units, "n_units").crossJoin(count(self.edges, "n_links"))  # one row each
+        return rows.crossJoin(parts).crossJoin(count(islands(self.edges, self.units), "n_islands"))
+
+
+def weights(source: DataFrame, kind: str, units: DataFrame | None = None, lower: float = 0.0, upper: float | None = None, k: int = 5, style: str = "B", m: int = 10, reach: float | None = None, nu: float = 0.5) -> Weights:
+    """The front door to weights graphs.
+
+    kind queen or rook takes polygons (unit, ring); distance, knn, lattice and nngp take units (unit, x, y); supplied takes edges
+    (i, j, w) with their units. style B keeps the weights; W standardises rows, warns, and averages with the transpose.
+    A supplied graph that is not symmetric is averaged with a warning; negative weights and edges of unknown units raise.
+    """
+    if kind not in ("queen", "rook", "distance", "knn", "lattice", "supplied", "nngp"):
+        raise ValueError("unknown kind of weights")
+    if style not in ("B", "W"):
+        raise ValueError("style must be B or W")
+    precision = None
+    if kind in ("queen", "rook"):
+        edges, units = contiguity(source, kind), source.select("unit").distinct()
+    elif kind == "supplied":
+        if units is None:
+            units = source.select(F.col("i").alias("unit")).union(source.select("j")).distinct()
+        known = units.select("unit")
+        if source.join(known, source["i"] == known["unit"], "left_anti").limit(1).count() or source.join(known, source["j"] == known["unit"], "left_anti").limit(1).count():
+            raise ValueError("an edge names an unknown unit")
+        turned = source.select(F.col("j").alias("i"), F.col("i").alias("j"), (-F.col("w")).alias("w"))
+        if source.select("i", "j", "w").unionByName(turned).groupBy("i", "j").agg(F.sum("w").alias("w")).where("abs(w) > 1e-12").limit(1).count():
+            warnings.warn("the supplied weights are not symmetric; they are averaged with their transpose", stacklevel=2)
+        edges = supplied(source)
+    else:
+        units = source.select("unit", "x", "y")
+        if kind == "distance":
+            edges = distance_band(units, upper, lower)
+        elif kind == "knn":
+            edges = knn_graph(units, k)
+        elif kind == "lattice":
+            edges = lattice_rook(units)
+        else:
+            from terraquant.operators import nngp
+
+            placed = nngp.ordered_units(units)
+            links = stored(nngp.earlier_neighbours(placed, m), "neighbours")
+            precision = nngp.assemble_precision(nngp.conditional_weights(placed, links, reach or nngp.default_range(units), nu))
+            edges = symmetrize_union(links).withColumn("w", F.lit(1.0))
+    if style == "W":
+        warnings.warn("row-standardised weights are not symmetric; they are averaged with their transpose", stacklevel=2)
+        edges = row_standardized(edges)
+    return Weights(kind, style, units, edges, precision)

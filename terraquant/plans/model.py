@@ -189,14 +189,19 @@ class SpatialQuantileMixture:
         c = self.control
         formula, gating = Formula.parse(self.formula), Formula.parse(self.gating if self.gating.strip().startswith("~") else "~" + self.gating)
         y, y_used = formula.response_column()
+        weight = self.weights.replace("~", "").strip() if self.weights else None
+        if weight is not None and weight not in df.columns:
+            raise ValueError("weights must name one column of the table")
         coef_on = self.spatial_coef and bool(formula.terms) and (self.coords is not None or self.region is not None)
         gate_on = gate_on and self.G > 1 and (self.coords is not None or self.region is not None)
-        used = sorted(formula.used() | gating.used() | y_used | set(self.coords or ()) | ({self.region} if self.region else set()) | ({self.weights} if self.weights else set()))
+        used = sorted(formula.used() | gating.used() | y_used | set(self.coords or ()) | ({self.region} if self.region else set()) | ({weight} if weight else set()))
+        if self.spatial_coef and not formula.terms:
+            raise ValueError("spatial slopes need a covariate; set spatial_coef=False")
         df = complete_cases(df, used)
         xd, zd = formula.design(df), gating.design(df)
-        if self.weights:
-            df = normalize_weights(df, self.weights, "_w")
-            sum_raw = df.agg(F.sum(self.weights)).first()[0]
+        if weight:
+            df = normalize_weights(df, weight, "_w")
+            sum_raw = df.agg(F.sum(weight)).first()[0]
         else:
             df, sum_raw = df.withColumn("_w", F.lit(1.0)), None
         place = [F.col(self.coords[0]).cast("double").alias("c1"), F.col(self.coords[1]).cast("double").alias("c2")] if self.coords else [F.col(self.region).cast("string").alias("region")] if self.region else []
@@ -533,10 +538,27 @@ class Fitted:
             bad = F.col("_phi").isNull() & F.col(self.spec.region).isNotNull()
             return out.withColumn("_phi", F.when(bad, F.raise_error(F.lit("a region was not seen in fitting")).cast("array<double>")).otherwise(F.col("_phi"))).drop("_region")
         a, b = self.spec.coords
+        if df.isStreaming:
+            return df.withColumn("_phi", self._phi_at()(F.col(a).cast("double"), F.col(b).cast("double")))
         places = df.select(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")).distinct()
         near = graph.exact_else_nearest(places.withColumn("key", F.lit(0)), self.units, "key").join(F.broadcast(table), "unit", "left").select(F.col("x").alias("_x"), F.col("y").alias("_y"), "_phi")
         return df.join(near, (F.col(a).cast("double") == F.col("_x")) & (F.col(b).cast("double") == F.col("_y")), "left").drop("_x", "_y")
 
+    def _phi_at(self):
+        """Effects of the nearest unit, ties to the lower number, for streams: units are few enough (MAX_UNITS) to go along."""
+        units = self.units.orderBy("unit").select("x", "y").toPandas().to_numpy(float)
+        phi = self.state.phi
+
+        @F.pandas_udf("array<double>")
+        def nearest(x: pd.Series, y: pd.Series) -> pd.Series:
+            at = np.stack([x.to_numpy(float), y.to_numpy(float)], 1)
+            out: list = [None] * len(at)
+            for i in np.flatnonzero(np.isfinite(at).all(1)).tolist():
+                out[i] = phi[int(((units - at[i]) ** 2).sum(1).argmin())].tolist()
+            return pd.Series(out)
+
+        return nearest
+
     # -- surfaces
     def coef_surface(self, df: DataFrame, covariate: int = 1) -> DataFrame:
         """One row per place and regime: (regime, slope, coord1, coord2 | region)."""

@@ -75,7 +75,7 @@ def best_cells(scores: DataFrame, by: list[str], score: str, key: str) -> DataFr
 def _loss(fit: Fitted, test: DataFrame) -> float:
     y = fit.formula.response_column()[0]
     if fit.spec.weights:
-        test = normalize_weights(test, fit.spec.weights, "_cv_w")
+        test = normalize_weights(test, fit.spec.weights.replace("~", "").strip(), "_cv_w")
     else:
         test = test.withColumn("_cv_w", F.lit(1.0))
     row = fold_losses(fit.predict(test).withColumn("_all", F.lit(0)), "_all", y - F.col("quantile"), fit.spec.tau, F.col("_cv_w")).first()

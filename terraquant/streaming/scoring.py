@@ -8,9 +8,7 @@ from terraquant.plans.model import Fitted
 
 
 def score_stream(model: Fitted, stream: DataFrame) -> DataFrame:
-    """stream with the model's predictions. Models with a spatial effect on points look up places by joins that a stream cannot repeat; they are refused."""
+    """stream with the model's predictions; new points take the spatial effect of the nearest unit."""
     if not stream.isStreaming:
         raise ValueError("a streaming DataFrame is needed")
-    if model.field is not None and model.spec.region is None:
-        raise ValueError("score batches of points with transform() inside foreachBatch")
     return model.transform(stream)

@@ -158,6 +158,40 @@ def test_bootstrap_selection_and_kernel_density(spark):
     assert np.isfinite(kde.coef).all() and np.isnan(kde.run["loglik"])
 
 
+def test_fits_by_weights_formula_labels_and_knobs(spark):
+    df = simulate.mixture(spark, 150, 2, seed=4).withColumn("k", F.lit(2.0)).persist()
+    base = SpatialQuantileMixture("y ~ x", G=1, coords=("s1", "s2"), spatial_coef=False, control=FAST)
+    assert np.abs(replace(base, weights="~ k").fit(df).coef - base.fit(df).coef).max() < 1e-9
+    with pytest.raises(ValueError, match="name one column"):
+        replace(base, weights="~ nothing").fit(df)
+    with pytest.raises(ValueError, match="need a covariate"):
+        SpatialQuantileMixture("y ~ 1", G=1, coords=("s1", "s2")).fit(df)
+    two = replace(base, G=2, control=replace(FAST, label_order="intercept")).fit(df)
+    assert two.coef[0, 0] <= two.coef[0, 1] and "regime 2" in repr(two)
+    assert two.gate_table(spark).count() == 1 and two.diagnostics(spark).first()["gate_cond"] >= 1
+    assert two.nobs == 150 and two.aic() == pytest.approx(-2 * two.loglik + 2 * two.edf["total"])
+    assert two.class_map(df).count() == 150 and two.density_table(spark, 64).count() == 128
+    d = two.density_table(spark, 256).toPandas().query("regime == 1")
+    assert np.trapezoid(d["density"], d["residual"]) == pytest.approx(1, abs=0.02)
+    got = two.residuals(df).toPandas()
+    assert np.allclose(got["y"] - got["fitted"], got["residual"])
+    kde = replace(two.spec, method="kde").fit(df).transform(df).select("posterior").toPandas()
+    assert np.allclose(np.stack(kde["posterior"]).sum(1), 1)
+
+
+def test_moran_without_an_effect_and_slope_stability(spark):
+    from terraquant.operators import graph
+
+    df = simulate.mixture(spark, 150, 2, coef_slope=2.0, seed=4).persist()
+    fit = SpatialQuantileMixture("y ~ x", G=2, coords=("s1", "s2"), control=replace(FAST, nstart=1, maxit=8)).fit(df)
+    units = graph.spatial_units(df, "s1", "s2", "row")
+    with pytest.raises(ValueError, match="needs edges"):
+        fit.moran(spark)
+    got = fit.moran(spark, graph.knn_graph(units, 4), 19, df, units).first()
+    assert got["stage"] == "single" and got["n_units"] == 150 and 0 < got["p_value"] <= 1
+    assert 0 <= fit.stability(df).first()[0] <= 1
+
+
 def test_labels_align():
     ref = np.array([[0.0, 5.0, 9.0], [1.0, 1.0, 1.0]])
     assert align(ref[:, [2, 0, 1]], ref).tolist() == [1, 2, 0]
@@ -173,3 +207,17 @@ def test_streams_are_scored(spark, tmp_path):
     assert spark.table("scored").count() == 80
     with pytest.raises(ValueError):
         score_stream(fit, df)
+
+
+def test_streams_of_points_take_the_nearest_effect(spark, tmp_path):
+    df, truth = simulate.car_lattice(spark, 150, 4, 1, seed=2)
+    df = df.join(truth.select("unit", F.col("x").alias("sx"), F.col("y").alias("sy")), "unit").persist()
+    fit = SpatialQuantileMixture("y ~ x", G=1, coords=("sx", "sy"), spatial_coef=False, spatial_error=FieldSpec(k=3), control=FAST).fit(df)
+    moved = df.select("row", "x", "y", (F.col("sx") + 0.1).alias("sx"), "sy")
+    moved.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(moved.schema).parquet(str(tmp_path / "in"))
+    q = score_stream(fit, stream).select("row", "quantile").writeStream.format("memory").queryName("points").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    want = {r["row"]: r["quantile"] for r in fit.transform(moved).collect()}
+    got = {r["row"]: r["quantile"] for r in spark.table("points").collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)

@@ -217,3 +217,48 @@ def test_rows_are_numbered_in_order(spark):
     got = {r["b"]: r["n"] for r in R.numbered(df, "n", "a", "b").collect()}
     assert got == {k: k + 1 for k in range(5000)}
     assert R.numbered(df.limit(0), "n", "a", "b").count() == 0
+
+
+def test_weights_front_door(spark):
+    grid = spark.createDataFrame([(r * 3 + c + 1, float(c), float(r)) for r in range(3) for c in range(3)], "unit long, x double, y double")
+    lattice = G.weights(grid, "lattice")
+    assert lattice.summary().first()[:] == (9, 24, 1, 0)
+    assert {r["unit"]: r["d"] for r in lattice.degrees().collect()}[5] == 4
+    assert G.weights(grid, "distance", upper=1.5).summary().first()[:] == (9, 40, 1, 0)
+    assert G.weights(grid, "distance", upper=0.5).summary().first()[:] == (9, 0, 9, 9)
+    near = G.weights(grid, "knn", k=2).edges
+    assert near.join(near.select(F.col("j").alias("i"), F.col("i").alias("j")), ["i", "j"]).count() == near.count()
+    process = G.weights(grid, "nngp", m=3)
+    assert process.precision.where("i = j").count() == 9 and process.edges.where("w = 1").count() == process.edges.count()
+    chain = spark.createDataFrame([(1, 2, 1.0), (2, 1, 1.0), (2, 3, 4.0)], "i long, j long, w double")
+    with pytest.warns(UserWarning, match="not symmetric"):
+        w = G.weights(chain, "supplied")
+    assert {(r["i"], r["j"]): r["w"] for r in w.edges.collect()}[3, 2] == 2.0
+    with pytest.warns(UserWarning, match="row-standardised"):
+        G.weights(grid, "lattice", style="W")
+    for bad in ({"kind": "x"}, {"kind": "lattice", "style": "C"}, {"kind": "distance"}):
+        with pytest.raises(ValueError):
+            G.weights(grid, **bad)
+    with pytest.raises(ValueError, match="unknown unit"):
+        G.weights(chain, "supplied", units=spark.createDataFrame([(1,), (2,)], "unit long"))
+    with pytest.raises(ValueError, match="negative"):
+        G.weights(spark.createDataFrame([(1, 2, -1.0), (2, 1, -1.0)], "i long, j long, w double"), "supplied")
+
+
+def test_multipolygons_are_read(spark, tmp_path):
+    import struct
+
+    from terraquant.sources.tables import read_polygons, wkb_rings
+
+    square = lambda x, y: [(x, y), (x + 1.0, y), (x + 1.0, y + 1.0), (x, y + 1.0), (x, y)]
+    ring = lambda r, o="<": struct.pack(o + "I", len(r)) + struct.pack(f"{o}{2 * len(r)}d", *(v for p in r for v in p))
+    polygon = lambda rings, o="<": bytes([o == "<"]) + struct.pack(o + "II", 3, len(rings)) + b"".join(ring(r, o) for r in rings)
+    multi = b"\x00" + struct.pack(">II", 6, 2) + polygon([square(0.0, 0.0)]) + polygon([square(5.0, 5.0), square(5.2, 5.2)], ">")
+    assert wkb_rings(multi) == [square(0.0, 0.0), square(5.0, 5.0), square(5.2, 5.2)]
+    spark.createDataFrame([(1, multi), (2, polygon([square(1.0, 0.0)])), (3, None)], "unit long, wkb binary").write.parquet(str(tmp_path / "wkb"))
+    rings = read_polygons(spark, str(tmp_path / "wkb"))
+    assert rings.count() == 4
+    assert {(r["i"], r["j"]) for r in G.contiguity(rings, "rook").collect()} == {(1, 2), (2, 1)}
+    spark.createDataFrame([(1, [square(0.0, 0.0), square(9.0, 9.0)]), (2, [square(1.0, 1.0)])], "unit long, rings array<array<struct<x double, y double>>>").write.parquet(str(tmp_path / "rings"))
+    parts = read_polygons(spark, str(tmp_path / "rings"))
+    assert G.weights(parts, "queen").edges.count() == 2 and G.weights(parts, "rook").edges.count() == 0
