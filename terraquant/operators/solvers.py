@@ -478,6 +478,19 @@ def gate_fit(rows, old: State, pen: np.ndarray, n_classes: int, maxit: int = 50,
     return gamma, hess
 
 
+def gate_sandwich(rows, state: State, gamma: np.ndarray, hessian: np.ndarray, sampling: bool = True) -> np.ndarray:
+    """Robust covariance of the gate's coefficients, in the order of its Hessian."""
+    q, k = gamma.shape
+
+    def meat_of(c: Chunk):
+        d = (state.posterior(c) - softmax_rows(c.z, gamma))[:, 1:]
+        score = (d[:, :, None] * c.z[:, None, :]).reshape(len(c), k * q)
+        return (score.T @ ((c.w**2 if sampling else c.w)[:, None] * score),)
+
+    inv = np.linalg.pinv(-hessian, rcond=1e-10)
+    return inv @ rows.reduce(meat_of)[0] @ inv
+
+
 def regime_densities(rows, old: State, beta: np.ndarray, phi: np.ndarray, method: str, grid: int = 512, bandwidth: float | None = None) -> list:
     """Density of each regime's residuals under the current responsibilities; the kernel's bandwidth by rule where not given."""
     tau, g = old.tau, beta.shape[1]

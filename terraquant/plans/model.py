@@ -653,15 +653,7 @@ class Fitted:
             full.append(free @ inv @ (free.T @ meat @ free) @ inv @ free.T)
         gate = np.zeros((0, 0))
         if s.G > 1:
-            q, kk = len(lay.pen_gamma), s.G - 1
-
-            def meat_of(c: Chunk):
-                d = (st.posterior(c) - st.prior(c))[:, 1:]
-                score = (d[:, :, None] * c.z[:, None, :]).reshape(len(c), kk * q)
-                return (score.T @ ((c.w**2 if sampling else c.w)[:, None] * score),)
-
-            inv = np.linalg.pinv(-self.gate_hessian, rcond=1e-10)
-            gate = inv @ self.rows.reduce(meat_of)[0] @ inv
+            gate = solvers.gate_sandwich(self.rows, st, st.gamma, self.gate_hessian, sampling)
         scale = self.n / self.sum_raw if s.weights_type == "frequency" and self.sum_raw else 1.0
         full = [v * scale for v in full]
         self.vcov = {"coef": [v[:p, :p] for v in full], "gate": gate * scale, "full": full, "method": "sandwich", "h_inverse": True}

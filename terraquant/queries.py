@@ -6,6 +6,7 @@ neighbours are the next keys in the same world region, and the first two entries
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -766,3 +767,126 @@ def sample_rows(spark, d):
     from terraquant.sources.tables import sample_rows as sample
 
     return sample(table(spark, d, "orders"), 500, "o_orderkey").select("o_orderkey", "o_totalprice")
+
+
+# ---- saturated fits: what SQL can say of the estimator
+
+
+_ORDERS = "o AS (SELECT o_orderkey, o_orderpriority AS g, o_totalprice / 1000 AS y, CAST(o_custkey % 5 + 1 AS DOUBLE) AS w FROM orders)"
+_QUANTILES = f"{_ORDERS}, r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY y) AS r, count(*) OVER (PARTITION BY g) AS n FROM o), q AS (SELECT g, min(y) AS q FROM r WHERE r >= 0.37 * n GROUP BY g)"
+
+
+def saturated(spark, d, **options):
+    """Orders and a quantile regression of their price on their priority alone."""
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("g"), (F.col("o_totalprice") / 1000).alias("y"), (F.col("o_custkey") % 5 + 1).cast("double").alias("w"))
+    return o, _estimator(formula="y ~ g", G=1, tau=0.37, spatial_coef=False, **options).fit(o)
+
+
+@query(f"WITH {_QUANTILES} SELECT o_orderkey, round(q, 6) AS quantile, 1 AS class, CAST(1 AS DOUBLE) AS prob FROM o JOIN q USING (g)")
+def predict_rows(spark, d):
+    o, fit = saturated(spark, d)
+    out = fit.predict(fit.predict(fit.predict(o, "quantile"), "class"), "prob")
+    return out.select("o_orderkey", F.round("quantile", 6).alias("quantile"), "class", F.get("prob", F.lit(0)).alias("prob"))
+
+
+@query(f"WITH {_QUANTILES} SELECT o_orderkey, round(q, 6) AS fitted, round(y - q, 6) AS residual FROM o JOIN q USING (g)")
+def fit_residuals(spark, d):
+    o, fit = saturated(spark, d)
+    return fit.residuals(o).select("o_orderkey", F.round("fitted", 6).alias("fitted"), F.round("residual", 6).alias("residual"))
+
+
+@query(f"WITH {_QUANTILES}, b AS (SELECT *, min(g) OVER () AS g0 FROM q) SELECT 1 AS regime, CASE WHEN a.g = a.g0 THEN '(Intercept)' ELSE 'g' || a.g END AS term, round(CASE WHEN a.g = a.g0 THEN a.q ELSE a.q - z.q END, 5) AS estimate FROM b a JOIN b z ON z.g = a.g0")
+def constant_coefficients(spark, d):
+    return saturated(spark, d)[1].coef_frame(spark).withColumn("estimate", F.round("estimate", 5))
+
+
+@query(f"WITH s AS ({_SANDWICH}) SELECT term, round(estimate / se, 2) AS z, round({_erfc_sql('(abs(estimate / se) / 1.4142135623730951)')}, 3) AS p, round(estimate - 1.6448536269514722 * se, 3) AS lower, round(estimate + 1.6448536269514722 * se, 3) AS upper FROM s")
+def confidence_intervals(spark, d):
+    _, fit = saturated(spark, d)
+    s = fit.summary(spark).select("term", F.round("z", 2).alias("z"), F.round("p", 3).alias("p"))
+    ci = spark.createDataFrame(fit.confint(0.9), "regime int, term string, estimate double, lower double, upper double")
+    return s.join(ci.select("term", F.round("lower", 3).alias("lower"), F.round("upper", 3).alias("upper")), "term")
+
+
+@query(f"WITH {_ORDERS}, r AS (SELECT g, y, sum(w) OVER (PARTITION BY g ORDER BY y, o_orderkey) AS r, sum(w) OVER (PARTITION BY g) AS n FROM o) SELECT g, round(min(y), 6) AS q FROM r WHERE r >= 0.37 * n GROUP BY g")
+def weighted_qr(spark, d):
+    o, fit = saturated(spark, d, weights="~ w")
+    return fit.transform(o.select("g").distinct()).select("g", F.round("quantile", 6).alias("q"))
+
+
+def _rows_of(df, x: list, w, p: list):
+    from terraquant.operators.sums import SparkRows
+
+    return SparkRows(df.select("y", F.array(*x).alias("x"), F.array(F.lit(1.0)).alias("z"), w.alias("w"), F.lit(-1).cast("long").alias("unit"), F.array(*p).alias("p")))
+
+
+_GRAM_E = "(l_extendedprice / 1000 - 1.5 * l_quantity)"
+
+
+@query(f"SELECT round(sum(k), 5) AS a00, round(sum(k * l_quantity), 4) AS a01, round(sum(k * l_quantity * l_quantity), 3) AS a11, round(sum(s), 5) AS g0, round(sum(s * l_quantity), 4) AS g1 FROM (SELECT l_quantity, l_linenumber * exp(-0.5 * ({_GRAM_E} / 2) * ({_GRAM_E} / 2)) / 2.5066282746310002 / 2 AS k, l_linenumber * (0.3 - 1 + 0.5 * {_erfc_sql(f'(-({_GRAM_E} / 2) / 1.4142135623730951)')}) AS s FROM lineitem)")
+def gram_sums(spark, d):
+    """Curvature and score of one Newton step of the smoothed quantile regression."""
+    from terraquant.operators import solvers
+
+    df = table(spark, d, "lineitem").withColumn("y", F.col("l_extendedprice") / 1000)
+    rows = _rows_of(df, [F.lit(1.0), F.col("l_quantity")], F.col("l_linenumber").cast("double"), [F.lit(1.0)])
+    state = solvers.State(np.zeros((2, 1)), np.zeros((0, 1)), np.zeros((1, 0)), [], 0.3)
+    a, g = rows.reduce(solvers._gram, 0, state, np.array([0.0, 1.5]), np.zeros(0), 2.0, 0)
+    got = [round(float(v), k) for v, k in ((a[0, 0], 5), (a[0, 1], 4), (a[1, 1], 3), (g[0], 5), (g[1], 4))]
+    return spark.createDataFrame([tuple(got)], "a00 double, a01 double, a11 double, g0 double, g1 double")
+
+
+@query(f"WITH {MIX}, p AS (SELECT sum(w * p_2) / sum(w) AS pi, sum(w) AS n FROM m) SELECT round(ln(pi / (1 - pi)), 6) AS gamma, round(-n * pi * (1 - pi), 3) AS hessian, round((SELECT sum(w * (p_2 - pi) * w * (p_2 - pi)) FROM m) / (n * pi * (1 - pi)) / (n * pi * (1 - pi)) * 1e6, 5) AS variance FROM p")
+def gate_sandwich(spark, d):
+    """Gate of fixed responsibilities: estimate, curvature and robust variance (in millionths)."""
+    from terraquant.operators import solvers
+
+    df = mixture_rows(spark, d).withColumn("y", F.col("x"))
+    rows = _rows_of(df, [F.lit(1.0)], F.col("w"), [F.col("p_1"), F.col("p_2")])
+    state = solvers.State(np.zeros((1, 2)), np.zeros((0, 2)), np.zeros((1, 1)), [], 0.5)
+    gamma, hessian = solvers.gate_fit(rows, state, np.zeros((1, 1)), 2)
+    v = solvers.gate_sandwich(rows, state, gamma, hessian)
+    return spark.createDataFrame([(round(float(gamma[0, 0]), 6), round(float(hessian[0, 0]), 3), round(float(v[0, 0]) * 1e6, 5))], "gamma double, hessian double, variance double")
+
+
+@query("SELECT c_custkey, CAST(1 AS DOUBLE) AS a, c_acctbal / 1000 AS b, CASE WHEN c_mktsegment = 'BUILDING' THEN 1.0 ELSE 0.0 END AS c, CASE WHEN c_mktsegment = 'FURNITURE' THEN 1.0 ELSE 0.0 END AS d, CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 1.0 ELSE 0.0 END AS e, CASE WHEN c_mktsegment = 'MACHINERY' THEN 1.0 ELSE 0.0 END AS f FROM customer")
+def gating_design(spark, d):
+    """Design of a gate: intercept, a scaled covariate, a factor against its first level."""
+    from terraquant.plans.formula import Formula
+
+    df = table(spark, d, "customer")
+    design = Formula.parse("~ I(c_acctbal / 1000) + c_mktsegment").design(df)
+    return df.select("c_custkey", *(c.cast("double").alias(n) for c, n in zip(design.columns, "abcdef")))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice, l_returnflag FROM lineitem")
+def csv_round_trip(spark, d):
+    """Rows written as CSV and read back with their schema."""
+    from terraquant.session import shared_dir
+    from terraquant.sources.tables import read_csv, write_csv
+
+    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    write_csv(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag"), path)
+    return read_csv(spark, path, "l_orderkey long, l_linenumber int, l_extendedprice double, l_returnflag string")
+
+
+@query(f"WITH {NATIONS} SELECT i, j, w FROM ne")
+def graph_round_trip(spark, d):
+    from terraquant.session import shared_dir
+    from terraquant.sources.tables import read_graph, write_graph
+
+    path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
+    write_graph(nation_edges(spark, d), path)
+    return read_graph(spark, path)
+
+
+@query(f"WITH {_ROOK}, c AS (SELECT count(DISTINCT unit) AS n_units FROM unit), l AS (SELECT count(*) AS n_links FROM e), s AS (SELECT count(*) AS n_islands FROM unit WHERE unit NOT IN (SELECT i FROM e)) SELECT n_units, n_links, n_islands FROM c, l, s")
+def weights_summary(spark, d):
+    return G.weights(lattice_units(spark, d), "lattice").summary().drop("n_components")
+
+
+@query(f"WITH {POINTS}, a AS (SELECT i.unit AS i, j.unit AS j, row_number() OVER (PARTITION BY i.unit ORDER BY (i.x - j.x) * (i.x - j.x) + (i.y - j.y) * (i.y - j.y), j.unit) AS r, (i.x - j.x) * (i.x - j.x) + (i.y - j.y) * (i.y - j.y) AS d2 FROM pt i JOIN pt j ON i.unit <> j.unit) SELECT i, j, round(d2, 10) AS d2, CAST(r AS INTEGER) AS rank FROM a WHERE r <= 8")
+def nearest_neighbours(spark, d):
+    from terraquant.operators.neighbours import nearest
+
+    return nearest(points(spark, d).select("unit", "x", "y"), 8).withColumn("d2", F.round("d2", 10))
