@@ -32,6 +32,7 @@ LIMIT = 1024
 
 _CACHE: dict[tuple[str, str], dict[str, object]] = {}
 _TOKENIZERS: dict[str, object] = {}
+_IDS: dict[str, PieceIds] = {}
 
 
 def tokenizer(path: str):
@@ -95,10 +96,11 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, special: str =
     frequent = frequent_pieces(docs, special)
     tok = tokenizer(path)
     lengths = dict(zip(frequent, (len(e.ids) for e in tok.encode_batch(frequent, add_special_tokens=False)))) if frequent else {}
+    shared = docs.sparkSession.sparkContext.broadcast(lengths)  # at most FREQUENT entries
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
-        cache = _CACHE.setdefault((path, "count"), {})
+        cache, lengths = _CACHE.setdefault((path, "count"), {}), shared.value
         for b in batches:
             counts, codes, names = _encoded(b.column(2))
             table = np.zeros(len(names), np.int64)
@@ -128,31 +130,49 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, special: str =
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
-def piece_ids(names: list[str], path: str) -> list[np.ndarray]:
-    """Token ids of each pre-token, through the worker's cache."""
-    cache = _CACHE.setdefault((path, "ids"), {})
-    missed = [w for w in names if w not in cache]
-    if missed:
-        if len(cache) > CACHE_LIMIT:
-            cache.clear()
-            missed = names
-        for w, e in zip(missed, tokenizer(path).encode_batch_fast(missed, add_special_tokens=False)):
-            cache[w] = np.array(e.ids, np.uint16)
-    return [cache[w] for w in names]
+class PieceIds:
+    """Token ids of the pre-tokens that a worker has met, end to end in one array; emptied when it holds CACHE_LIMIT of them."""
+
+    def __init__(self, path: str):
+        self.path = path
+        self.clear()
+
+    def clear(self) -> None:
+        self.at: dict[str, int] = {}
+        self.first, self.flat = np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint16)
+
+    def numbers(self, names: list[str]) -> np.ndarray:
+        """The number of each pre-token, after encoding those not met before."""
+        if len(self.at) > CACHE_LIMIT:
+            self.clear()
+        missed = [w for w in names if w not in self.at]
+        if missed:
+            for w, e in zip(missed, tokenizer(self.path).encode_batch_fast(missed, add_special_tokens=False)):
+                k, ids = len(self.at), e.ids
+                start = self.first[k]
+                while k + 2 > len(self.first):
+                    self.first = np.concatenate([self.first, np.zeros_like(self.first)])
+                while start + len(ids) > len(self.flat):
+                    self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+                self.flat[start : start + len(ids)] = ids
+                self.first[k + 1] = start + len(ids)
+                self.at[w] = k
+        return np.fromiter(map(self.at.__getitem__, names), np.int64, count=len(names))
 
 
 def batch_ids(lists: pa.Array, whole: pa.Array, path: str) -> list[np.ndarray]:
     """Token ids of each row of a batch: by pre-tokens, or of the whole text where that is given."""
     counts, codes, names = _encoded(lists)
-    ids = piece_ids(names, path)
-    size = np.fromiter(map(len, ids), np.int64, count=len(ids))
-    flat = np.concatenate(ids) if ids else np.zeros(0, np.uint16)
-    first = np.concatenate([[0], np.cumsum(size)])
+    if path not in _IDS:
+        _IDS[path] = PieceIds(path)
+    known = _IDS[path]
+    number = known.numbers(names)
+    size, first = known.first[number + 1] - known.first[number], known.first[number]
     n = size[codes] if len(codes) else np.zeros(0, np.int64)
     run = np.concatenate([[0], np.cumsum(n)])
-    # position of every token of every occurrence inside flat
+    # position of every token of every occurrence among the known ids
     at = np.repeat(first[codes] - run[:-1], n) + np.arange(run[-1]) if len(codes) else np.zeros(0, np.int64)
-    tokens = flat[at]
+    tokens = known.flat[at]
     ends = np.cumsum(counts)
     given = pc.is_valid(whole).to_numpy(zero_copy_only=False)
     out = []

@@ -45,7 +45,6 @@ AHEAD = 3
 MANY_SETS = 1000
 #: First prefix tokens of each class that tie near copies together.
 HEADS = 6
-SALTS = 16
 #: Least and greatest width, in bits, of a set's parity sketch.
 SKETCH = (256, 8192)
 #: Rows of a frequent token's list that meet in one task; longer lists are dealt in cells of so many.
@@ -193,12 +192,12 @@ def _sizes_link(na, nb, percent: int):
 def head_pairs(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b): each set with the smallest-id set that shares one of its first prefix tokens, and with the next one in size.
 
-    Neighbours in size are taken within SALTS parts of a token's sets, so no task has to sort a large group whole.
+    Neighbours in size are taken within parts of a token's sets of about LIST, so no task has to sort a large group whole.
     """
     heads = reps.select("doc_id", "n", F.explode(F.concat(F.slice("rare", 1, HEADS), F.slice("often", 1, 2 * HEADS))).alias("token"))
-    least = heads.groupBy("token").agg(F.min(F.struct("doc_id", "n")).alias("c"), F.count("*").alias("m")).where("m > 1").select("token", "c")
-    shared = heads.join(least, "token")
-    part = Window.partitionBy("token", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).orderBy("n", "doc_id")
+    least = heads.groupBy("token").agg(F.min(F.struct("doc_id", "n")).alias("c"), F.count("*").alias("m")).where("m > 1").select("token", "c", F.ceil(F.col("m") / LIST).alias("parts"))
+    shared = heads.join(least, "token").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
+    part = Window.partitionBy("token", "part").orderBy("n", "doc_id")
     placed = shared.withColumn("beside", F.lag(F.struct("doc_id", "n")).over(part))
     near = placed.select("doc_id", "n", F.explode(F.array("c", "beside")).alias("c"))
     pairs = near.where(F.col("c").isNotNull() & (F.col("doc_id") != F.col("c.doc_id"))).where(_sizes_link(F.col("n"), F.col("c.n"), percent))

@@ -67,7 +67,7 @@ def assign_shards(docs: DataFrame, key: str = "doc_id", n_shards: int = SHARDS,
     return out.select(*(F.col(f"`{c}`") for c in kept.columns), "slot", "shard")
 
 
-def write_shards(docs: DataFrame, path: str, key: str = "doc_id", n_shards: int = SHARDS, files_per_shard: int = 1, size: int = TABLE_SIZE) -> None:
+def write_shards(docs: DataFrame, path: str, key: str = "doc_id", n_shards: int = SHARDS, files_per_shard: int = 8, size: int = TABLE_SIZE) -> None:
     """Write docs as one folder per shard. Rows are dealt by (shard, hash of key), so no shard has to fit in a task."""
     placed = assign_shards(docs, key, n_shards, size)
     salt = F.pmod(F.xxhash64(F.col(f"`{key}`"), F.lit("file")), F.lit(files_per_shard))

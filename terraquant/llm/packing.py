@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraquant.llm.bpe import SPECIAL, batch_ids, pieces
+from terraquant.llm.bpe import SPECIAL, batch_ids, pieces, tokenizer
 
 ROW_TOKENS = 2048
 #: Padding id of the matrix (the vocabulary's end-of-text id).
@@ -84,10 +84,12 @@ def pack_documents(docs: DataFrame, path: str, row_tokens: int = ROW_TOKENS, pad
     pack_id long, doc_ids array<long>, piece_numbers array<int> (0, 1, ... within a document), n_tokens int,
     cu_seqlens array<int> (from 0 to n_tokens), input_ids binary and position_ids binary (row_tokens little-endian
     uint16 each; padding has id pad and position 0). Texts without tokens (null, empty) make no segment. Repeated
-    rows are packed each; a null id stays null in doc_ids. No document, no row.
+    rows are packed each; a null id stays null in doc_ids. No document, no row. Vocabularies beyond 16 bits raise.
     """
     if not 0 < row_tokens <= 65_536:
         raise ValueError("row_tokens must fit positions of 16 bits")
+    if tokenizer(path).get_vocab_size() > 65_536:
+        raise ValueError("the vocabulary's ids must fit 16 bits")
     schema = "pack_id long, doc_ids array<long>, piece_numbers array<int>, n_tokens int, cu_seqlens array<int>, input_ids binary, position_ids binary"
 
     def flush(group: list[tuple[int | None, np.ndarray]], number: int) -> pa.RecordBatch:
