@@ -20,7 +20,7 @@ others are verified on the whole sets; components are those of all verified link
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +49,8 @@ HEADS = 6
 SKETCH = (256, 8192)
 #: Rows of a frequent token's list that meet in one task; longer lists are dealt in cells of so many.
 LIST = 8192
+#: Index rows of rare tokens that a worker holds at a time.
+PROBE_ROWS = 100_000
 #: Partners of a frequent token that an index row carries; with more it carries none and meets the whole list.
 PARTNERS = 64
 #: Numbers from here on stand for documents without an id while components are found.
@@ -339,18 +341,35 @@ def close_pairs(deal: np.ndarray, side: np.ndarray, doc: np.ndarray, size: np.nd
             yield pairs[:, 0], pairs[:, 1]
 
 
+def by_key(batches: Iterator[pa.RecordBatch], rows: int, use: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """What use makes of batches sorted by their first column, in tables of about rows that hold each key whole."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= rows:
+            whole = pa.Table.from_batches(held)
+            keys = whole.column(0).to_numpy()
+            cut = int(np.searchsorted(keys, keys[-1]))  # the last key may go on
+            if cut:
+                yield from use(whole.slice(0, cut))
+            held = whole.slice(cut).to_batches()
+    if held:
+        yield from use(pa.Table.from_batches(held))
+
+
 def index_pairs(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b): pairs from different groups that share a signature and may link. reps: doc_id, n, grp, rare, often, sketch."""
     limit, most_partners = LIST, PARTNERS
 
     def probe_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [tuple(b.column(i).to_numpy() for i in range(4)) for b in batches]
-        if parts:
-            token, doc, size, group = (np.concatenate(c) for c in zip(*parts))
+        def meet(held: pa.Table) -> Iterator[pa.RecordBatch]:
+            token, doc, size, group = (held.column(k).to_numpy() for k in range(4))
             for x, y, c in cross_pairs(token, doc, size, group, size, percent):
                 yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(c.astype(np.int64))], ["a", "b", "c"])
 
-    single = reps.select(F.explode("rare").alias("token"), "doc_id", "n", "grp").repartition("token").mapInArrow(probe_rare, "a long, b long, c long")
+        yield from by_key(batches, PROBE_ROWS, meet)
+
+    single = reps.select(F.explode("rare").alias("token"), "doc_id", "n", "grp").repartition("token").sortWithinPartitions("token").mapInArrow(probe_rare, "a long, b long, c long")
     found = within_bound(single.groupBy("a", "b").agg(F.sum("c").alias("rare")), reps, percent)
     # sets that share rare tokens too have met there: below none of a set's rare tokens is shared
     often = reps.where(F.size("often") > 1)
@@ -397,18 +416,7 @@ def index_pairs(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
             for x, y in close_pairs(*fixed, held.column(6).combine_chunks(), held.column(7).to_pylist(), percent):
                 yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
 
-        held: list[pa.RecordBatch] = []
-        for b in batches:
-            held.append(b)
-            if sum(x.num_rows for x in held) >= limit:
-                whole = pa.Table.from_batches(held)
-                deals = whole.column(0).to_numpy()
-                cut = int(np.searchsorted(deals, deals[-1]))  # the last deal may go on
-                if cut:
-                    yield from close(whole.slice(0, cut))
-                held = whole.slice(cut).to_batches()
-        if held:
-            yield from close(pa.Table.from_batches(held))
+        yield from by_key(batches, limit, close)
 
     rows = often.select("doc_id", "n", "grp", F.size("rare").alias("rare"), "often", "sketch").mapInArrow(deal_out, "deal long, side int, doc_id long, n long, grp long, before long, partners array<int>, sketch binary")
     double = rows.repartition("deal").sortWithinPartitions("deal").mapInArrow(probe_often, "a long, b long")
