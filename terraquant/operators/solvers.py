@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -21,9 +22,10 @@ def check(u: np.ndarray, tau: float) -> np.ndarray:
 
 
 def softmax_rows(z: np.ndarray, gamma: np.ndarray) -> np.ndarray:
-    eta = np.hstack([np.zeros((len(z), 1)), z @ gamma])
-    e = np.exp(eta - eta.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
+    # one class after the other: sums along short rows are slow
+    eta = np.vstack([np.zeros((1, len(z))), (z @ gamma).T])
+    e = np.exp(eta - eta.max(axis=0))
+    return (e / e.sum(axis=0)).T
 
 
 def robust_solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -68,6 +70,9 @@ class State:
     started: bool = False
     start: Callable[[Chunk], np.ndarray] | None = None
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_last"}
+
     def fitted(self, c: Chunk) -> np.ndarray:
         out = c.x @ self.beta
         if len(self.phi):
@@ -77,7 +82,7 @@ class State:
 
     def densities(self, c: Chunk) -> np.ndarray:
         e = c.y[:, None] - self.fitted(c)
-        return np.stack([d(e[:, k]) for k, d in enumerate(self.density)], 1)
+        return np.stack([d(e[:, k]) for k, d in enumerate(self.density)]).T
 
     def prior(self, c: Chunk) -> np.ndarray:
         return softmax_rows(c.z, self.gamma)
@@ -85,8 +90,12 @@ class State:
     def posterior(self, c: Chunk) -> np.ndarray:
         if not self.started:
             return c.p if self.start is None else self.start(c)
-        m = np.maximum(self.prior(c) * self.densities(c), FLOOR)
-        return m / m.sum(axis=1, keepdims=True)
+        # the sums of one EM step ask for the same rows many times
+        last = self.__dict__.get("_last")
+        if last is None or last[0]() is not c:
+            m = np.maximum(self.prior(c) * self.densities(c), FLOOR)
+            last = self._last = weakref.ref(c), m / m.sum(axis=1, keepdims=True)
+        return last[1]
 
 
 @dataclass(frozen=True)
@@ -264,7 +273,9 @@ def exact_quantile(x: np.ndarray, y: np.ndarray, w: np.ndarray, tau: float, b: n
     """Exact weighted quantile regression from a nearby start: moves between vertices until the subgradient fits.
 
     At a vertex p rows are met exactly. Where one of their multipliers is out of bounds, the vertex moves along the
-    matching edge to the minimum of the objective on it, a weighted quantile of the breakpoints.
+    matching edge to the minimum of the objective on it, a weighted quantile of the breakpoints. Where more rows
+    are met (copies, ties), the signs of theirs are open and moves would go in circles: from then on responses count with
+    shifts far below their spread, and the fit is that of the same p rows without shifts.
     """
     p = x.shape[1]
     active = w > 0
@@ -280,10 +291,17 @@ def exact_quantile(x: np.ndarray, y: np.ndarray, w: np.ndarray, tau: float, b: n
                 break
     if len(basis) < p:
         return b
+    size = np.abs(y - x @ b)
+    unit = float(np.median(size[size > 0])) if (size > 0).any() else 1.0
+    own = y
     for _ in range(pivots):
         inverse = np.linalg.inv(x[basis])
         b = inverse @ y[basis]
         e = y - x @ b
+        if own is y and (np.abs(e) <= 1e-13 * (unit + np.abs(y))).sum() > p:
+            y = own + 1e-10 * unit * (2 * uniforms(np.arange(len(own), dtype=np.uint64), 0) - 1)
+            b = inverse @ y[basis]
+            e = y - x @ b
         e[basis] = 0
         sign = np.where(e < 0, tau - 1, tau)
         sign[basis] = 0
@@ -310,7 +328,7 @@ def exact_quantile(x: np.ndarray, y: np.ndarray, w: np.ndarray, tau: float, b: n
         run = rate + np.cumsum(w[rows] * np.abs(slope[rows]))
         enter = int(rows[min(int(np.searchsorted(run, 0.0)), len(rows) - 1)])
         basis[j] = enter
-    return b
+    return b if own is y else np.linalg.inv(x[basis]) @ own[basis]
 
 
 def exact_over(rows, k: int, old: State, tau: float, b: np.ndarray, band: int = BAND) -> np.ndarray:
@@ -448,10 +466,10 @@ def start_of(rows, n_classes: int, tau: float, kind: str, seed: int, sizes: tupl
     return ClusterStart(scaled.b, blocked, scaled.shift, scaled.spread, centres[int(tight.argmin())])
 
 
-def gate_fit(rows, old: State, pen: np.ndarray, n_classes: int, maxit: int = 50, tol: float = 1e-8) -> tuple[np.ndarray, np.ndarray]:
-    """Penalised multinomial logit on responsibilities by Newton from zero: (gamma, Hessian)."""
+def gate_fit(rows, old: State, pen: np.ndarray, n_classes: int, maxit: int = 50, tol: float = 1e-8, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Penalised multinomial logit on responsibilities by Newton from start, else from zero: (gamma, Hessian)."""
     q, k = len(pen), n_classes - 1
-    gamma = np.zeros((q, k))
+    gamma = np.zeros((q, k)) if start is None else start
     if k < 1:
         return gamma, np.zeros((0, 0))
 
@@ -543,13 +561,15 @@ def mixture_em(rows, n_classes: int, tau: float, pen_beta: np.ndarray, pen_gamma
     for it in range(1, maxit + 1):
         beta, phi = state.beta.copy(), state.phi.copy()
         for k in range(g):
-            beta[:, k], f, h = smooth_quantile(rows, k, state, pen_beta, rate, field, lam, (state.beta[:, k], state.phi[:, k]), **newton)
-            if m:
-                phi[:, k] = f
-            elif not smooth:
+            # an exact fit needs no smoothed one before it where the step before left a start
+            if m or smooth or not np.any(beta[:, k]):
+                beta[:, k], f, h = smooth_quantile(rows, k, state, pen_beta, rate, field, lam, (state.beta[:, k], state.phi[:, k]), **newton)
+                if m:
+                    phi[:, k] = f
+            if not m and not smooth:
                 beta[:, k] = exact_over(rows, k, state, tau, beta[:, k])
         density = regime_densities(rows, state, beta, phi, method, **kernel)
-        gamma, hess = gate_fit(rows, state, pen_gamma, g, **gate)
+        gamma, hess = gate_fit(rows, state, pen_gamma, g, **gate, start=state.gamma)
         state = State(beta, phi, gamma, density, tau, True)
         now = np.concatenate([beta.ravel(), phi.ravel(), gamma.ravel()])
         if previous is not None and np.abs(now - previous).sum() / (np.abs(previous).sum() + 1e-8) < tol:
@@ -559,7 +579,7 @@ def mixture_em(rows, n_classes: int, tau: float, pen_beta: np.ndarray, pen_gamma
         if g == 1 and it > 1:
             converged = True
             break
-    gamma, hess = gate_fit(rows, state, pen_gamma, g, **gate)
+    gamma, hess = gate_fit(rows, state, pen_gamma, g, **gate, start=state.gamma)
     density = regime_densities(rows, state, state.beta, state.phi, method, **kernel)
     final = State(state.beta, state.phi, gamma, density, tau, True)
     if not smooth and field is None:

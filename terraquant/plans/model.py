@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from statistics import NormalDist
 
@@ -29,6 +30,8 @@ from terraquant.session import reachable, stored
 
 #: Units of a spatial field up to which its dense system is solved on the driver.
 MAX_UNITS = 4_000
+#: Starts of a mixture that run at the same time.
+AT_ONCE = 5
 
 
 @dataclass(frozen=True)
@@ -334,17 +337,21 @@ class SpatialQuantileMixture:
         return solvers.mixture_em(rows, self.G, self.tau, layout.pen_beta, layout.pen_gamma, rate, layout.spatial_coef, fld, lam, self.method, c.maxit, c.tol, c, start)
 
     def _starts(self, rows, layout: Layout, fld) -> dict:
-        """The best of nstart runs."""
+        """The best of nstart runs, some at a time; the first of equal ones."""
         kinds, best = ("blocked", "resid", "random"), None
         sizes = len(layout.pen_beta), len(layout.pen_gamma)
-        for i in range(self.control.nstart if self.G > 1 else 1):
+
+        def run(i: int) -> dict | None:
             try:
                 start = solvers.start_of(rows, self.G, self.tau, kinds[i % 3], self.control.seed + i, sizes, self.coords is not None)
-                got = self._run(rows, layout, fld, start)
+                return self._run(rows, layout, fld, start)
             except (np.linalg.LinAlgError, FloatingPointError):
-                continue
-            if best is None or got["objective"] > best["objective"]:
-                best = got
+                return None
+
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            for got in pool.map(run, range(self.control.nstart if self.G > 1 else 1)):
+                if got is not None and (best is None or got["objective"] > best["objective"]):
+                    best = got
         if best is None:
             raise RuntimeError("every start failed")
         return best

@@ -38,6 +38,39 @@ def test_exact_quantile_regression_is_a_minimum(tau):
     assert np.abs(near - exact).max() < 0.06
 
 
+@pytest.mark.parametrize("tau", [0.3, 0.5])
+def test_exact_quantile_regression_passes_copies_and_ties(tau):
+    """Copies of rows and rounded responses meet many rows at a vertex; moves must not go in circles there."""
+    rng = np.random.default_rng(8)
+    x = np.c_[np.ones(600), rng.integers(0, 10, 600)]
+    y, w = np.round(rng.normal(size=600), 2), rng.uniform(0.1, 0.9, 600)
+    at = np.tile(np.arange(600), 5)
+    loss = lambda v: (w[at] * solvers.check(y[at] - x[at] @ v, tau)).sum()
+    pivots = 40
+    got = solvers.exact_quantile(x[at], y[at], w[at], tau, np.array([0.5, -0.2]), pivots)
+    again = solvers.exact_quantile(x[at], y[at], w[at], tau, got, pivots)
+    assert np.abs(got - again).max() < 1e-9 or loss(got) == pytest.approx(loss(again), abs=1e-9)
+    assert all(loss(got + rng.normal(size=2) * s) >= loss(got) - 1e-7 for s in (1e-4, 1e-3, 1e-2, 1e-1) for _ in range(300))
+
+
+def test_exact_steps_start_from_the_step_before(monkeypatch):
+    """Smoothed fits only lead the first exact ones; later steps take a few passes over the rows each."""
+    rng = np.random.default_rng(9)
+    n = 400
+    x = np.c_[np.ones(n), rng.uniform(size=n)]
+    y = np.where(rng.uniform(size=n) < 0.5, 3 * x[:, 1] + 4, -3 * x[:, 1]) + 0.3 * rng.normal(size=n)
+    rows = LocalRows(Chunk(y, x, np.ones((n, 1)), np.ones(n), np.full(n, -1), np.full((n, 2), 0.5), rng.uniform(size=(n, 2))))
+    smoothed, keep = [], solvers.smooth_quantile
+    monkeypatch.setattr(solvers, "smooth_quantile", lambda *a, **b: smoothed.append(1) or keep(*a, **b))
+    start = solvers.RandomStart(2, 1)
+    got = solvers.mixture_em(rows, 2, 0.5, np.zeros((2, 2)), 1e-3 * np.eye(1), 0.4, False, None, 1.0, maxit=60, start=start)
+    assert got["iterations"] > 2 and len(smoothed) == 2
+    c, final = rows.chunk, got["state"]
+    p = final.posterior(c)
+    fresh = solvers.softmax_rows(c.z, final.gamma) * final.densities(c)
+    assert np.abs(p - fresh / fresh.sum(1, keepdims=True)).max() < 1e-9
+
+
 def test_a_heavy_penalty_shrinks():
     c = rows_of(np.random.default_rng(3))
     pen = np.diag([0.0, 1e6, 1e6])
