@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, replace
 from itertools import product
 
@@ -39,13 +40,15 @@ def select_model(base: SpatialQuantileMixture, df: DataFrame, key: str, G_grid=(
     errors = lambda_error_grid if base.spatial_error is not None else (None,)
     if criterion == "cv":
         df = stored(balanced_folds(df, folds, key), "folds")
-    rows = []
+    rows, kept = [], (None, math.inf)  # the first fit with the least criterion, which need not be made again
     for g, lg, lc, le in product(G_grid, lambda_gate_grid, lambda_coef_grid, errors):
         spec = replace(base, G=g, lambda_gate=lg, lambda_coef=lc, lambda_error=le, variance="none")
         score = 0.0
         try:
             if criterion == "bic":
-                score = spec.fit(df).edf["bic"]
+                tried = spec.fit(df)
+                score = tried.edf["bic"]
+                kept = (tried, score) if score < kept[1] else kept
             else:
                 for f in range(1, folds + 1):
                     fit = spec.fit(df.where(F.col("fold") != f))
@@ -57,7 +60,9 @@ def select_model(base: SpatialQuantileMixture, df: DataFrame, key: str, G_grid=(
         rows.append((g, lg, lc, le, float(score)))
     table = df.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(rows)], "cell int, G int, lambda_gate double, lambda_coef double, lambda_error double, score double")
     best = rows[best_cells(table, [], "score", "cell").first()["best"]]
-    fit = replace(base, G=best[0], lambda_gate=best[1], lambda_coef=best[2], lambda_error=best[3]).fit(df)
+    fit = kept[0]
+    if fit is None or base.variance != "none":
+        fit = replace(base, G=best[0], lambda_gate=best[1], lambda_coef=best[2], lambda_error=best[3]).fit(df)
     return Selection(fit, best, criterion, table.drop("cell"))
 
 

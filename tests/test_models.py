@@ -254,3 +254,11 @@ def test_streams_of_points_take_the_nearest_effect(spark, tmp_path):
     want = {r["row"]: r["quantile"] for r in fit.transform(moved).collect()}
     got = {r["row"]: r["quantile"] for r in spark.table("points").collect()}
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_selection_by_criterion_fits_the_best_cell_once(spark, monkeypatch):
+    df = simulate.mixture(spark, 120, 2, seed=3).persist()
+    fitted, keep = [], SpatialQuantileMixture.fit
+    monkeypatch.setattr(SpatialQuantileMixture, "fit", lambda self, d: fitted.append(self.G) or keep(self, d))
+    got = select_model(SpatialQuantileMixture("y ~ x", coords=("s1", "s2"), spatial_coef=False, control=Control(nstart=1, k=5, maxit=2)), df, "s1")
+    assert fitted == [2, 3] and got.fit.spec.G == got.best[0] and got.fit.edf["bic"] == min(r["score"] for r in got.table.collect())
