@@ -28,7 +28,78 @@ def softmax_rows(z: np.ndarray, gamma: np.ndarray) -> np.ndarray:
     return (e / e.sum(axis=0)).T
 
 
-def robust_solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+class Sparse:
+    """Symmetric matrix of so many rows by its entries; each row has some."""
+
+    __array_ufunc__ = None
+
+    def __init__(self, i: np.ndarray, j: np.ndarray, v: np.ndarray, n: int):
+        at, back = np.unique(i.astype(np.int64) * n + j, return_inverse=True)
+        self.i, self.j, self.v = at // n, at % n, np.bincount(back, v)
+        self.starts, self.n = np.searchsorted(self.i, np.arange(n)), n
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __matmul__(self, x: np.ndarray) -> np.ndarray:
+        return np.add.reduceat((self.v if x.ndim == 1 else self.v[:, None]) * x[self.j], self.starts)
+
+    __rmatmul__ = __matmul__  # of vectors
+
+
+@dataclass
+class Bordered:
+    """The matrix of (b, phi): a dense block of few rows, a border, and scale * q plus a diagonal."""
+
+    a: np.ndarray
+    cross: np.ndarray
+    diagonal: np.ndarray
+    q: Sparse
+    scale: float
+
+    def __len__(self) -> int:
+        return len(self.a) + len(self.q)
+
+    def columns(self, at: np.ndarray) -> np.ndarray:
+        """Columns of the matrix without scale * q."""
+        p, out = len(self.a), np.zeros((len(self), len(at)))
+        for k, j in enumerate(at):
+            out[:p, k] = self.a[:, j] if j < p else self.cross[j - p]
+            if j < p:
+                out[p:, k] = self.cross[:, j]
+            else:
+                out[j, k] = self.diagonal[j - p]
+        return out
+
+    def solve(self, g: np.ndarray, tol: float = 1e-12, maxit: int = 20_000) -> np.ndarray:
+        """By conjugate gradients for phi, all right-hand sides at once, and the small system that is left for b."""
+        p = len(self.a)
+        right = np.column_stack([self.cross, g[p:]])
+        scale = 1 / (self.scale * np.bincount(self.q.i, np.where(self.q.i == self.q.j, self.q.v, 0), len(self.q)) + self.diagonal)[:, None]
+        x, r = np.zeros_like(right), right.copy()
+        z = scale * r
+        d, rz = z, (r * z).sum(0)
+        goal = tol * np.sqrt((right * right).sum(0))
+        for _ in range(maxit):
+            open_ = np.sqrt((r * r).sum(0)) > goal
+            if not open_.any():
+                break
+            m = self.scale * (self.q @ d) + self.diagonal[:, None] * d
+            step = np.where(open_, rz / np.where(open_, (d * m).sum(0), 1.0), 0.0)
+            x, r = x + step * d, r - step * m
+            z = scale * r
+            new = (r * z).sum(0)
+            d, rz = z + np.where(open_, new / np.where(rz > 0, rz, 1.0), 0.0) * d, new
+        else:
+            raise RuntimeError("the system of the spatial effect was not solved")
+        c, w = x[:, :p], x[:, p:]
+        b = robust_solve(self.a - self.cross.T @ c, g[:p].reshape(p, -1) - self.cross.T @ w)
+        return np.vstack([b, w - c @ b]).reshape(g.shape)
+
+
+def robust_solve(a: np.ndarray | Bordered, b: np.ndarray) -> np.ndarray:
+    if isinstance(a, Bordered):
+        return a.solve(b)
     try:
         return np.linalg.solve(a, b)
     except np.linalg.LinAlgError:
@@ -39,7 +110,7 @@ def robust_solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Field:
     """A spatial effect over units: precision q, components of the graph; constrained to sum to zero in each, or free. adjacency: weights of neighbours, where they do not follow from q."""
 
-    q: np.ndarray
+    q: np.ndarray | Sparse
     component: np.ndarray
     constrained: bool = True
     adjacency: np.ndarray | None = None
@@ -165,6 +236,8 @@ def _system(sums, pen: np.ndarray, field: Field | None, lam: float, ridge: float
     if field is None:
         return a
     p, m = len(a), field.size
+    if isinstance(field.q, Sparse):
+        return Bordered(a, sums[3], sums[2] + ridge, field.q, lam)
     out = np.zeros((p + m, p + m))
     out[:p, :p] = a
     out[p:, p:] = lam * field.q + np.diag(sums[2]) + ridge * np.eye(m)
@@ -187,6 +260,10 @@ def _constrained(h: np.ndarray, g: np.ndarray, field: Field | None, p: int) -> n
     if field is None or not field.constrained:
         return robust_solve(h, g)
     a = np.hstack([np.zeros((len(np.unique(field.component)), p)), field.constraints()])
+    if isinstance(h, Bordered):
+        both = h.solve(np.column_stack([a.T, g]))
+        border, free = both[:, : len(a)], both[:, len(a) :]
+        return (free - border @ robust_solve(a @ border, a @ free)).reshape(g.shape)
     kkt = np.block([[h, a.T], [a, np.zeros((len(a), len(a)))]])
     return robust_solve(kkt, np.concatenate([g, np.zeros(len(a))]))[: len(h)]
 

@@ -28,7 +28,7 @@ from terraquant.operators.sums import LOCAL_ROWS, Chunk, Few, LocalRows, SparkRo
 from terraquant.plans.formula import Formula, expression
 from terraquant.session import reachable, stored
 
-#: Units of a spatial field up to which its dense system is solved on the driver.
+#: Units of a spatial field up to which its system is dense; beyond, it is sparse and solved by conjugate gradients.
 MAX_UNITS = 4_000
 #: Starts of a mixture that run at the same time.
 AT_ONCE = 5
@@ -121,24 +121,27 @@ class FieldSpec:
 
 
 def field_of(units: DataFrame, spec: FieldSpec) -> solvers.Field:
-    """Dense precision and components over units 1..L (at most MAX_UNITS)."""
+    """Precision and components over units 1..L, dense up to MAX_UNITS."""
     n = units.count()
-    if n > MAX_UNITS:
-        raise ValueError(f"a spatial effect over {n} units exceeds {MAX_UNITS}; aggregate the units or use a basis")
     near = None
     if spec.kind == "nngp":
         placed = nngp.ordered_units(units)
         links = stored(nngp.earlier_neighbours(placed, spec.m), "neighbours")
         q_edges, comp = nngp.assemble_precision(nngp.conditional_weights(placed, links, spec.reach or nngp.default_range(units), spec.nu)), None
-        e = links.select("i", "j").toPandas()
-        near = np.zeros((n, n))
-        near[e["i"].to_numpy() - 1, e["j"].to_numpy() - 1] = 1
-        near = np.maximum(near, near.T)
+        if n <= MAX_UNITS:
+            e = links.select("i", "j").toPandas()
+            near = np.zeros((n, n))
+            near[e["i"].to_numpy() - 1, e["j"].to_numpy() - 1] = 1
+            near = np.maximum(near, near.T)
     else:
         edges = spec.edges if spec.edges is not None else graph.knn_graph(units, min(spec.k, n - 1))
         q_edges = graph.car_precision(edges, units, spec.alpha, "icar" if spec.kind == "icar" else "proper")
         comp = graph.unit_components(edges, units).orderBy("unit").toPandas()["component"].to_numpy()
     e = q_edges.toPandas()
+    if n > MAX_UNITS:
+        i, j, v, own = e["i"].to_numpy() - 1, e["j"].to_numpy() - 1, e["v"].to_numpy() / 2, np.arange(n)
+        q = solvers.Sparse(np.concatenate([i, j, own]), np.concatenate([j, i, own]), np.concatenate([v, v, np.full(n, 1e-6)]), n)
+        return solvers.Field(q, np.zeros(n, int) if comp is None else comp, spec.kind != "nngp")
     q = np.zeros((n, n))
     np.add.at(q, (e["i"].to_numpy() - 1, e["j"].to_numpy() - 1), e["v"].to_numpy())
     return solvers.Field((q + q.T) / 2 + 1e-6 * np.eye(n), np.zeros(n, int) if comp is None else comp, spec.kind != "nngp", near)
@@ -215,6 +218,8 @@ class SpatialQuantileMixture:
             if self.region:
                 names = rows.select("region").distinct() if self.spatial_error.edges is None else self.spatial_error.edges.select(F.col("i").cast("string").alias("region")).union(self.spatial_error.edges.select(F.col("j").cast("string").alias("region"))).distinct()
                 ids = [r[0] for r in names.orderBy("region").limit(MAX_UNITS + 1).collect()]
+                if len(ids) > MAX_UNITS:
+                    raise ValueError(f"a spatial effect takes at most {MAX_UNITS} regions")
                 at = {v: k + 1 for k, v in enumerate(ids)}
                 spark = df.sparkSession
                 units = spark.createDataFrame([(k, v) for v, k in at.items()], "unit long, region string")
@@ -227,9 +232,9 @@ class SpatialQuantileMixture:
                 rows = rows.join(F.broadcast(units), "region")  # at most MAX_UNITS rows
             else:
                 units = graph.spatial_units(rows.withColumn("_row", F.monotonically_increasing_id()), "c1", "c2", "_row")
-                units = units.sparkSession.createDataFrame(units.limit(MAX_UNITS + 1).collect(), units.schema)
+                units = stored(units, "units")
                 fld = field_of(units, self.spatial_error)
-                rows = graph.with_unit(rows, F.broadcast(units), "c1", "c2")  # at most MAX_UNITS rows
+                rows = graph.with_unit(rows, F.broadcast(units) if fld.size <= MAX_UNITS else units, "c1", "c2")
             rows = rows.withColumn("unit", F.col("unit") - 1)
         else:
             rows = rows.withColumn("unit", F.lit(-1).cast("long"))
@@ -261,7 +266,12 @@ class SpatialQuantileMixture:
         gamma, hess = solvers.gate_fit(everything, _Old, layout.pen_gamma, self.G, c.gate_maxit, c.gate_tol)
         state = replace(state, gamma=gamma)
         out = Fitted(self, formula, gating, xd.levels | zd.levels, xd.names, zd.names, layout, basis, fld, units, state, best, hess, everything, n, sum_raw, plus)
-        out.information()
+        if fld is not None and isinstance(fld.q, solvers.Sparse):
+            if self.variance != "none":
+                raise ValueError(f"variances with a spatial effect take at most {MAX_UNITS} units")
+            out.edf = Later(out)
+        else:
+            out.information()
         if self.variance == "sandwich":
             out.sandwich()
         elif self.variance == "boot":
@@ -369,6 +379,17 @@ def _regions(rows: DataFrame) -> list[str]:
     return names
 
 
+class Later(dict):
+    """Criteria that are computed when one is asked for: over many units they take as many solutions as there are units."""
+
+    def __init__(self, fit: Fitted):
+        self.fit = fit
+
+    def __missing__(self, key: str):
+        self.fit.information()
+        return self.fit.edf[key]
+
+
 @dataclass
 class Fitted:
     spec: SpatialQuantileMixture
@@ -430,6 +451,11 @@ class Fitted:
         lam = self.spec.control.lambda_error if self.spec.lambda_error is None else self.spec.lambda_error
         for k in range(g):
             s = self.rows.reduce(solvers._least_squares, k, st, m)
+            if m and isinstance(self.field.q, solvers.Sparse):
+                h, a = solvers._system(s, lay.pen_beta, self.field, lam, 1e-8), solvers.Bordered(s[0], s[3], s[2], self.field.q, 0.0)
+                for at in np.array_split(np.arange(len(h)), -(-len(h) // 16)):
+                    comp += float(solvers._constrained(h, a.columns(at), self.field, len(lay.pen_beta))[at, np.arange(len(at))].sum())
+                continue
             zero = np.zeros_like(lay.pen_beta)
             a = solvers._system(s, zero, replace(self.field, q=np.zeros_like(self.field.q)) if m else None, 0.0, 0.0)
             h = solvers._system(s, lay.pen_beta, self.field, lam, 1e-8)

@@ -114,3 +114,17 @@ def test_blocks_of_coordinates(spark, monkeypatch):
     here, there = fits(spark, monkeypatch, replace(SpatialQuantileMixture("y ~ x", G=2, coords=("s1", "s2"), spatial_coef=False), control=c), df)
     a, b = here._blocks(), there._blocks()
     assert (a(here.rows.chunk) == b(here.rows.chunk)).all() and len(set(a(here.rows.chunk).tolist())) == 4
+
+
+@pytest.mark.parametrize("kind", ["nngp", "proper"])
+def test_a_field_over_many_units_is_solved_sparsely(spark, monkeypatch, kind):
+    df, truth = simulate.car_lattice(spark, 120, 4, 1, seed=2)
+    df = df.join(truth.select("unit", F.col("x").alias("sx"), F.col("y").alias("sy")), "unit").persist()
+    spec = SpatialQuantileMixture("y ~ x", G=1, coords=("sx", "sy"), spatial_coef=False, spatial_error=FieldSpec(kind=kind, k=4, m=4), control=Control(sm_floor=0.1))
+    dense = spec.fit(df)
+    monkeypatch.setattr(model, "MAX_UNITS", 10)
+    sparse = spec.fit(df)
+    assert isinstance(sparse.field.q, solvers.Sparse) and sparse.field.size > 10
+    assert np.abs(dense.coef - sparse.coef).max() < 1e-6 and np.abs(dense.state.phi - sparse.state.phi).max() < 1e-6
+    assert sparse.edf["total"] == pytest.approx(dense.edf["total"], abs=1e-6)
+    assert sparse.phi_surface(spark, ci=False).count() == sparse.field.size
