@@ -42,7 +42,9 @@ class Sparse:
         return self.n
 
     def __matmul__(self, x: np.ndarray) -> np.ndarray:
-        return np.add.reduceat((self.v if x.ndim == 1 else self.v[:, None]) * x[self.j], self.starts)
+        if x.ndim == 1:
+            return np.add.reduceat(self.v * x[self.j], self.starts)
+        return np.stack([self @ c for c in np.ascontiguousarray(x.T)], 1)
 
     __rmatmul__ = __matmul__  # of vectors
 

@@ -125,9 +125,9 @@ def field_of(units: DataFrame, spec: FieldSpec) -> solvers.Field:
     n = units.count()
     near = None
     if spec.kind == "nngp":
-        placed = nngp.ordered_units(units)
+        placed = stored(nngp.ordered_units(units), "ordered")
         links = stored(nngp.earlier_neighbours(placed, spec.m), "neighbours")
-        q_edges, comp = nngp.assemble_precision(nngp.conditional_weights(placed, links, spec.reach or nngp.default_range(units), spec.nu)), None
+        q_edges, comp = nngp.assemble_precision(stored(nngp.conditional_weights(placed, links, spec.reach or nngp.default_range(units), spec.nu), "weights")), None
         if n <= MAX_UNITS:
             e = links.select("i", "j").toPandas()
             near = np.zeros((n, n))
@@ -137,7 +137,7 @@ def field_of(units: DataFrame, spec: FieldSpec) -> solvers.Field:
         edges = spec.edges if spec.edges is not None else graph.knn_graph(units, min(spec.k, n - 1))
         q_edges = graph.car_precision(edges, units, spec.alpha, "icar" if spec.kind == "icar" else "proper")
         comp = graph.unit_components(edges, units).orderBy("unit").toPandas()["component"].to_numpy()
-    e = q_edges.toPandas()
+    e = q_edges.toArrow()
     if n > MAX_UNITS:
         i, j, v, own = e["i"].to_numpy() - 1, e["j"].to_numpy() - 1, e["v"].to_numpy() / 2, np.arange(n)
         q = solvers.Sparse(np.concatenate([i, j, own]), np.concatenate([j, i, own]), np.concatenate([v, v, np.full(n, 1e-6)]), n)
