@@ -5,6 +5,7 @@ from __future__ import annotations
 import weakref
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 
@@ -28,15 +29,31 @@ def softmax_rows(z: np.ndarray, gamma: np.ndarray) -> np.ndarray:
     return (e / e.sum(axis=0)).T
 
 
+#: Units of an undivided part of a dissected matrix, and the values that its factor may hold on the driver; beyond, conjugate gradients need none.
+PART_UNITS, FACTOR_VALUES = 100, 1 << 27
+
+
+@dataclass
+class Front:
+    """Part of a dissected matrix: its own units, later units tied to them, entries (of Sparse.v) with their place in the front, parts below with the place of their ties."""
+
+    own: np.ndarray
+    tied: np.ndarray
+    entry: np.ndarray
+    row: np.ndarray
+    col: np.ndarray
+    below: list[tuple[int, np.ndarray]]
+
+
 class Sparse:
-    """Symmetric matrix of so many rows by its entries; each row has some."""
+    """Symmetric matrix of so many rows by its entries; each row has some. place: coordinates of the rows, by which systems are dissected."""
 
     __array_ufunc__ = None
 
-    def __init__(self, i: np.ndarray, j: np.ndarray, v: np.ndarray, n: int):
+    def __init__(self, i: np.ndarray, j: np.ndarray, v: np.ndarray, n: int, place: np.ndarray | None = None):
         at, back = np.unique(i.astype(np.int64) * n + j, return_inverse=True)
         self.i, self.j, self.v = at // n, at % n, np.bincount(back, v)
-        self.starts, self.n = np.searchsorted(self.i, np.arange(n)), n
+        self.starts, self.n, self.place = np.searchsorted(self.i, np.arange(n)), n, place
 
     def __len__(self) -> int:
         return self.n
@@ -48,6 +65,100 @@ class Sparse:
 
     __rmatmul__ = __matmul__  # of vectors
 
+    @cached_property
+    def fronts(self) -> list[Front] | None:
+        """Nested dissection: halves by place, between them the units that take all links across; parts below come first. None where the factor is too large."""
+        if self.place is None:
+            return None
+        out: list[Front] = []
+        ends, held = np.append(self.starts, len(self.v)), 0
+        side, at, done = np.zeros(self.n, np.int8), np.empty(self.n, np.int64), np.zeros(self.n, bool)
+
+        def entries(rows: np.ndarray) -> np.ndarray:
+            many = ends[rows + 1] - ends[rows]
+            return np.repeat(ends[rows] - np.cumsum(many) + many, many) + np.arange(many.sum())
+
+        def divide(rows: np.ndarray) -> int:
+            nonlocal held
+            own, below = rows, []
+            if len(rows) > PART_UNITS:
+                rows = rows[np.argsort(self.place[rows, int(np.ptp(self.place[rows, 1]) > np.ptp(self.place[rows, 0]))], kind="stable")]
+                a, b = rows[: len(rows) // 2], rows[len(rows) // 2 :]
+                side[a], side[b] = 1, 2
+                e = entries(a)
+                e = e[side[self.j[e]] == 2]
+                own = _cover(self.i[e], self.j[e])
+                side[own] = 0
+                a, b = a[side[a] > 0], b[side[b] > 0]
+                side[rows] = 0
+                below = [divide(part) for part in (a, b)]
+            e = entries(own)
+            done[own] = True
+            later = self.j[e][~done[self.j[e]]]
+            tied = np.unique(np.concatenate([later, *(out[k].tied for k in below)]))
+            tied = tied[~done[tied]]
+            held += len(own) * (len(own) + len(tied))
+            if held > FACTOR_VALUES:
+                raise OverflowError
+            every = np.concatenate([own, tied])
+            at[every] = np.arange(len(every))
+            side[every] = 1
+            e = e[side[self.j[e]] == 1]
+            side[every] = 0
+            out.append(Front(own, tied, e, at[self.i[e]], at[self.j[e]], [(k, at[out[k].tied]) for k in below]))
+            return len(out) - 1
+
+        try:
+            divide(np.arange(self.n))
+        except OverflowError:
+            return None
+        return out
+
+    def solve(self, scale: float, diagonal: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """x of (scale * self + diagonal) x = right by its fronts, for a positive definite sum."""
+        fronts, c = self.fronts, right.shape[1]
+        kept: list[np.ndarray] = [right] * len(fronts)
+        rest: dict[int, np.ndarray] = {}
+
+        def eliminate(k: int) -> None:
+            f = fronts[k]
+            n, size = len(f.own), len(f.own) + len(f.tied)
+            m = np.zeros((size, size + c))  # the right-hand sides are the last columns
+            for nth, (b, where) in enumerate(f.below):
+                at = where[:, None], np.append(where, size + np.arange(c))
+                if nth:
+                    m[at] += rest.pop(b)
+                else:
+                    m[at] = rest.pop(b)
+            m[f.row, f.col] += scale * self.v[f.entry]
+            m[np.arange(n), np.arange(n)] += diagonal[f.own]
+            m[:n, size:] += right[f.own]
+            kept[k] = np.linalg.solve(m[:n, :n], m[:n, n:])
+            rest[k] = m[n:, n:] - m[:n, n:size].T @ kept[k]
+
+        for k in range(len(fronts)):
+            eliminate(k)
+        x = np.empty_like(right)
+        for f, both in zip(fronts[::-1], kept[::-1]):
+            x[f.own] = both[:, len(f.tied) :] - both[:, : len(f.tied)] @ x[f.tied]
+        return x
+
+
+def _cover(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Few units that every link (a, b) has one of: those of most links first."""
+    out = [np.zeros(0, np.int64)]
+    while len(a):
+        unit, back, links = np.unique(np.concatenate([a, b]), return_inverse=True, return_counts=True)
+        most = links.max()
+        pick = np.flatnonzero(links >= 0.7 * most) if most > 3 else np.flatnonzero(links == most)
+        pick = pick if most > 3 else pick[: max(1, len(pick) // 4)] if most > 1 else back[: len(a)]
+        out.append(unit[pick])
+        taken = np.zeros(len(unit), bool)
+        taken[pick] = True
+        left = ~(taken[back[: len(a)]] | taken[back[len(a) :]])
+        a, b = a[left], b[left]
+    return np.unique(np.concatenate(out))
+
 
 @dataclass
 class Bordered:
@@ -73,10 +184,7 @@ class Bordered:
                 out[j, k] = self.diagonal[j - p]
         return out
 
-    def solve(self, g: np.ndarray, tol: float = 1e-12, maxit: int = 20_000) -> np.ndarray:
-        """By conjugate gradients for phi, all right-hand sides at once, and the small system that is left for b."""
-        p = len(self.a)
-        right = np.column_stack([self.cross, g[p:]])
+    def _gradients(self, right: np.ndarray, tol: float, maxit: int) -> np.ndarray:
         scale = 1 / (self.scale * np.bincount(self.q.i, np.where(self.q.i == self.q.j, self.q.v, 0), len(self.q)) + self.diagonal)[:, None]
         x, r = np.zeros_like(right), right.copy()
         z = scale * r
@@ -94,6 +202,13 @@ class Bordered:
             d, rz = z + np.where(open_, new / np.where(rz > 0, rz, 1.0), 0.0) * d, new
         else:
             raise RuntimeError("the system of the spatial effect was not solved")
+        return x
+
+    def solve(self, g: np.ndarray, tol: float = 1e-12, maxit: int = 20_000) -> np.ndarray:
+        """For phi by the matrix's fronts, else by conjugate gradients, all right-hand sides at once; then the small system that is left for b."""
+        p = len(self.a)
+        right = np.column_stack([self.cross, g[p:]])
+        x = self._gradients(right, tol, maxit) if self.q.fronts is None else self.q.solve(self.scale, self.diagonal, right)
         c, w = x[:, :p], x[:, p:]
         b = robust_solve(self.a - self.cross.T @ c, g[:p].reshape(p, -1) - self.cross.T @ w)
         return np.vstack([b, w - c @ b]).reshape(g.shape)

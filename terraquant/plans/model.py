@@ -139,8 +139,9 @@ def field_of(units: DataFrame, spec: FieldSpec) -> solvers.Field:
         comp = graph.unit_components(edges, units).orderBy("unit").toPandas()["component"].to_numpy()
     e = q_edges.toArrow()
     if n > MAX_UNITS:
+        place = units.select("unit", F.col("x").cast("double"), F.col("y").cast("double")).orderBy("unit").drop("unit").toPandas().to_numpy()
         i, j, v, own = e["i"].to_numpy() - 1, e["j"].to_numpy() - 1, e["v"].to_numpy() / 2, np.arange(n)
-        q = solvers.Sparse(np.concatenate([i, j, own]), np.concatenate([j, i, own]), np.concatenate([v, v, np.full(n, 1e-6)]), n)
+        q = solvers.Sparse(np.concatenate([i, j, own]), np.concatenate([j, i, own]), np.concatenate([v, v, np.full(n, 1e-6)]), n, place)
         return solvers.Field(q, np.zeros(n, int) if comp is None else comp, spec.kind != "nngp")
     q = np.zeros((n, n))
     np.add.at(q, (e["i"].to_numpy() - 1, e["j"].to_numpy() - 1), e["v"].to_numpy())

@@ -151,6 +151,20 @@ def test_the_order_is_maxmin_whatever_the_number_of_units(spark):
     assert [r["unit"] - 1 for r in nngp.ordered_units(units).orderBy("ord").collect()] == plain(xy)
 
 
+def test_earlier_neighbours_are_those_of_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(nngp, "PART_UNITS", 50)
+    for xy in (rng.integers(0, 12, (400, 2)).astype(float), np.exp(3 * rng.normal(size=(400, 2))), np.zeros((70, 2)), rng.normal(size=(3, 2)), rng.normal(size=(1, 2))):
+        unit, order = rng.permutation(len(xy)) + 5, rng.permutation(len(xy))
+        want = set()
+        for i in range(len(xy)):
+            d2 = ((xy - xy[i]) ** 2).sum(1)
+            near = sorted((d2[j], unit[j]) for j in range(len(xy)) if order[j] < order[i])[:4]
+            want |= {(int(unit[i]), int(u), float(d), k + 1) for k, (d, u) in enumerate(near)}
+        units = spark.createDataFrame([(int(u), float(a), float(b), int(o) + 1) for u, (a, b), o in zip(unit, xy, order)], "unit long, x double, y double, ord int")
+        assert {tuple(r) for r in nngp.earlier_neighbours(units, 4).select("i", "j", "d2", "rank").collect()} == want
+
+
 def test_bases_are_penalised_and_centred():
     xy = np.random.default_rng(3).uniform(size=(60, 2))
     for kind in ("tp", "gp"):

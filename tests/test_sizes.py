@@ -128,3 +128,31 @@ def test_a_field_over_many_units_is_solved_sparsely(spark, monkeypatch, kind):
     assert np.abs(dense.coef - sparse.coef).max() < 1e-6 and np.abs(dense.state.phi - sparse.state.phi).max() < 1e-6
     assert sparse.edf["total"] == pytest.approx(dense.edf["total"], abs=1e-6)
     assert sparse.phi_surface(spark, ci=False).count() == sparse.field.size
+
+
+def test_a_sparse_system_is_solved_without_iterations(monkeypatch):
+    """Conjugate gradients took more rounds the more units there were; with a factor too large for the driver they remain."""
+    rng = np.random.default_rng(6)
+    n = 700
+    xy = np.vstack([rng.normal(size=(n - 20, 2)), np.zeros((20, 2))])
+    d = ((xy[:, None] - xy[None]) ** 2).sum(2)
+    w = np.zeros((n, n))
+    w[np.repeat(np.arange(n), 6), np.argsort(d, axis=1)[:, :6].ravel()] = 1
+    w[rng.integers(0, n, 60), rng.integers(0, n, 60)] = 1  # links across the plane
+    w[0], w[:, 0] = 0, 0  # a unit on its own
+    w = np.maximum(w, w.T)
+    dense = np.diag(w.sum(1) + 0.01) - w
+    i, j = np.nonzero(dense)
+    diagonal, right = rng.uniform(size=n), rng.normal(size=(n, 3))
+    products = []
+    plain = solvers.Sparse.__matmul__
+    monkeypatch.setattr(solvers.Sparse, "__matmul__", lambda self, x: products.append(1) or plain(self, x))
+    cross, a, g = rng.normal(size=(n, 2)), np.eye(2) * n, rng.normal(size=n + 2)
+    q = solvers.Sparse(i, j, dense[i, j], n, xy)
+    got = solvers.Bordered(a, cross, diagonal, q, 2.0).solve(g)
+    assert not products and len(q.fronts) > 10
+    assert np.abs(got - np.linalg.solve(np.block([[a, cross.T], [cross, 2 * dense + np.diag(diagonal)]]), g)).max() < 1e-9
+    assert np.abs(q.solve(2.0, diagonal, right) - np.linalg.solve(2 * dense + np.diag(diagonal), right)).max() < 1e-9
+    monkeypatch.setattr(solvers, "FACTOR_VALUES", 1000)
+    q = solvers.Sparse(i, j, dense[i, j], n, xy)
+    assert q.fronts is None and np.abs(solvers.Bordered(a, cross, diagonal, q, 2.0).solve(g) - got).max() < 1e-8 and products
